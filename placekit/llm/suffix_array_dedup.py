@@ -42,10 +42,15 @@ def window_hashes(sums: np.ndarray, n: int, length: int) -> np.ndarray:
 
 def inner_repeats(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which windows of a text start twice in it, and which are the first of their kind."""
-    _, first, at, many = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    fresh = np.zeros(len(hashes), bool)
-    fresh[first] = True
-    return many[at] > 1, fresh
+    ordered = np.sort(hashes)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    twice, fresh = np.zeros(len(hashes), bool), np.ones(len(hashes), bool)
+    if len(again):  # most texts repeat nothing, and one plain sort shows it
+        twice = again[np.minimum(np.searchsorted(again, hashes), len(again) - 1)] == hashes
+        at = np.flatnonzero(twice)
+        fresh[at] = False
+        fresh[at[np.unique(hashes[at], return_index=True)[1]]] = True
+    return twice, fresh
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
