@@ -1,11 +1,14 @@
-"""Registry of queries: name -> (spark, sf_dir) -> DataFrame, with SQL for the same rows."""
+"""All queries: name -> (spark, sf_dir) -> DataFrame, with SQL for the same rows."""
 
 from __future__ import annotations
 
+from placekit.plans import gates, joins, research, serving, shapes, values  # noqa: F401  they register themselves
+from placekit.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
