@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placekit.plans import gates, joins, research, serving, shapes, values  # noqa: F401  they register themselves
+from placekit.plans import gates, joins, layered, research, serving, shapes, values  # noqa: F401  they register themselves
 from placekit.plans.registry import QUERIES, SQL
 
 
