@@ -81,13 +81,21 @@ def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return tuple(w)
 
 
+def usable() -> Column:
+    """Whether the sample may hold the text."""
+    return F.col("text").isNotNull() & F.octet_length("text").between(1, TEXT_BYTES)
+
+
+def sample_order() -> Column:
+    return F.xxhash64(F.lit(6), "doc_id", "text")
+
+
 def fit(labelled: DataFrame) -> Model:
     """(doc_id, text, quality) -> Model. Half of the sample makes the dictionaries, half the curve."""
     sample: dict[int, list[bytes]] = {}
     for label in (0, 1):
-        rows = labelled.where((F.col("quality") == label) & F.col("text").isNotNull() & F.octet_length("text").between(1, TEXT_BYTES))
-        order = F.xxhash64(F.lit(6), "doc_id", "text")
-        texts = [r["text"].encode() for r in rows.select("text", order.alias("h")).orderBy("h", "text").limit(SAMPLE).toLocalIterator()]
+        rows = labelled.where((F.col("quality") == label) & usable())
+        texts = [r["text"].encode() for r in rows.select("text", sample_order().alias("h")).orderBy("h", "text").limit(SAMPLE).toLocalIterator()]
         ends = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0)
         sample[label] = texts[: int((ends <= SAMPLE_BYTES).sum())]
     if not sample[0] or not sample[1]:
@@ -122,9 +130,16 @@ def held_out(column: Column, folds: int = 5, fold: int = 0) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows outside the held-out fold."""
-    seen = labels.where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
-    return docs.select("doc_id", "text").join(seen, "doc_id")
+    """The rows of the sample, outside the held-out fold: doc_id, text, quality.
+
+    They are found by their hashes; texts of others are never moved. Broadcast are ``SAMPLE`` ids of each label at most.
+    """
+    seen = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), "quality")
+    fit_rows = docs.where(usable()).select("doc_id", "text", sample_order().alias("__h"))
+    slim = fit_rows.select("doc_id", "__h").join(seen, F.col("doc_id") == F.col("__id")).select("__id", "__h", "quality")
+    first = [slim.where(F.col("quality") == x).orderBy("__h", "__id").limit(SAMPLE) for x in (0, 1)]
+    picked = first[0].unionByName(first[1]).distinct().withColumnRenamed("__h", "__first")
+    return fit_rows.join(F.broadcast(picked), (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__first"))).select("doc_id", "text", "quality")
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
