@@ -127,6 +127,15 @@ def pad_gap_anti(spark, sf):
     return r.join(met.select("k"), F.col("key") == F.col("k"), "left_anti").select("key")
 
 
+@query("pad_gap_anti_800m", prelude("P", "R") + f", X AS ({_near('P', 'R', '800.0', 'c.key, p.name AS n1, c.name AS n2')}) SELECT key FROM R WHERE key NOT IN (SELECT key FROM X WHERE d < 800 AND trim(regexp_replace(lower(n1), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(n2), '[^a-z0-9]+', ' ', 'g')))")
+def pad_gap_anti_800m(spark, sf):
+    """Rows that no place of their name lies under 800 m from, measured at the place; they meet in cells and names."""
+    p = _p(spark, sf).select("lat", "lng", names.norm(F.col("name")).alias("nm"))
+    r = view(spark, sf, "R").select(F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"), "key", names.norm(F.col("name")).alias("r_nm"))
+    met = radius_join(p, r, F.lit(800.0)).where((F.col("nm") == F.col("r_nm")) & (F.col("dist") < 800)).select("key")
+    return r.select("key").join(met, "key", "left_anti")
+
+
 _TOKS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ('park', 'preserve', 'state', 'the', 'of')))"
 
 
