@@ -1,9 +1,9 @@
 """Secret scans: multipart credential linking with DataFrame functions only.
 
 Base secrets (assignments, access keys, long hex) are always reported. Weak candidates (a name of
-an account, a value that looks random, an address) are reported only if a complementary part
-starts within ``scope`` code points of them: the parts are joined as intervals, over buckets of
-that width, so that no pairs inside a document are made.
+an account, a value that looks random, an address) are reported only if at most ``scope`` code
+points lie between them and a complementary part: the parts are joined as intervals, over buckets
+of about that width, so that no pairs inside a document are made.
 
 Null texts count as empty and have no span. Equal texts are searched once. Positions are code
 points, ends exclusive. Columns other than ``text`` are carried and never read.
@@ -32,7 +32,7 @@ BASE = ("assign", "access", "hex")
 PART = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "random": "secret", "endpoint": "endpoint"}
 #: Parts of which one has to be near for a weak candidate of this part to be reported.
 NEEDS = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("secret",)}
-#: Code points between the starts of parts of one credential.
+#: Code points between the end of a part and the start of the next of one credential.
 SCOPE = 200
 
 
@@ -60,19 +60,23 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 def link_parts(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Base spans, and the weak candidates near to a complementary part.
 
-    An interval semi-join: for each key, bucket of ``scope`` code points and part the first and last
-    start decide about the candidates of this bucket and its neighbours, so rows stay linear.
+    An interval semi-join: spans stand in every bucket that they touch, and for each key, bucket and part
+    the first start and the last end decide about the candidates of this bucket and its neighbours. A bucket
+    is one wider than ``scope``, so that a gap of ``scope`` reaches no further than the next one. Rows stay
+    linear in the text: spans of a kind don't overlap.
     """
     part = F.create_map(*[F.lit(x) for kv in PART.items() for x in kv])[F.col("kind")]
-    spans = spans.withColumn("part", part).withColumn("bucket", F.floor(F.col("start") / F.lit(scope)))
-    base, weak = spans.where(F.col("kind").isin(*BASE)), spans.where(~F.col("kind").isin(*BASE))
-    ends = spans.groupBy("key", "bucket", "part").agg(F.min("start").alias("first"), F.max("start").alias("last"))
+    touched = F.sequence(*[F.floor(c / F.lit(scope + 1)) for c in (F.col("start"), F.col("end") - 1)])
+    spans = spans.withColumn("part", part)
+    base, weak = spans.where(F.col("kind").isin(*BASE)), spans.where(~F.col("kind").isin(*BASE)).withColumn("bucket", F.explode(touched))
+    ends = spans.withColumn("bucket", F.explode(touched)).groupBy("key", "bucket", "part").agg(F.min("start").alias("first"), F.max("end").alias("last"))
     near = ends.select(F.col("key").alias("k"), F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("b"), F.col("part").alias("p"), "first", "last")
     needs = F.lit(False)
     for p, others in NEEDS.items():
         needs = needs | ((F.col("part") == p) & F.col("p").isin(*others))
-    close = (F.col("last") >= F.col("start") - scope) & (F.col("first") <= F.col("start") + scope)
+    close = (F.col("last") >= F.col("start") - scope) & (F.col("first") <= F.col("end") + scope)
     linked = weak.join(near, (F.col("key") == F.col("k")) & (F.col("bucket") == F.col("b")) & needs & close, "left_semi")
+    linked = linked.drop("bucket").dropDuplicates(["key", "kind", "start", "end"])  # a long candidate stands in several buckets
     return base.unionByName(linked).select("key", "kind", "start", "end")
 
 
