@@ -246,3 +246,10 @@ def gap_cells(spark, sf):
     pairs = radius_join(at, _other(spark, sf, "P", "acres"), F.lit(2500.0))
     held = pairs.where(F.col("dist") <= geo.radius_m(F.col("r_acres")) + 300).select("ci", "cj")
     return g.join(held, ["ci", "cj"], "left_anti")
+
+
+@query("gap_cells_in_towns", prelude("O", "P", "M") + f", {_OC}, G AS (SELECT ci, cj, (ci + 0.5) * 0.0015::DOUBLE AS lat, (cj + 0.5) * 0.0015::DOUBLE AS lng FROM OC), T AS (SELECT ci, cj FROM G p JOIN M m ON {_IN}), X AS (SELECT ci, cj FROM G p JOIN P c ON abs(c.lat - p.lat) * 111000 <= 2600 WHERE {_D} <= 2600 AND {_D} <= {_R.replace('p.acres', 'c.acres')} + 300) SELECT ci, cj FROM T EXCEPT SELECT ci, cj FROM X")
+def gap_cells_in_towns(spark, sf):
+    """Trail cells that no place holds and whose middle lies in a town."""
+    at = gap_cells(spark, sf).select(F.col("ci").alias("i"), F.col("cj").alias("j"), ((F.col("ci") + 0.5) * 0.0015).alias("lat"), ((F.col("cj") + 0.5) * 0.0015).alias("lng"))
+    return point_in_polygon(at, towns(spark, sf)).select(F.col("i").alias("ci"), F.col("j").alias("cj")).distinct()  # areas may overlap

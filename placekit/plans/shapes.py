@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from placekit.functions import geo
 from placekit.plans.adapter import prelude, view
-from placekit.plans.joins import _OC, towns, trail_cells
+from placekit.plans.joins import _OC, gap_cells_in_towns, towns, trail_cells
 from placekit.plans.registry import query
 
 
@@ -97,12 +97,11 @@ def prop_clean(spark, sf):
     return e.select("event_id", F.explode(clean_properties(bag, 8)).alias("k", "v"))
 
 
-@query("gap_clusters")
-def gap_clusters(spark, sf):
-    """8-connected groups of four trail cells or more: neighbours meet in cell joins, groups by contracting stars."""
+def clusters(cells):
+    """8-connected groups of four cells or more: neighbours meet in cell joins, groups by contracting stars."""
     from placekit.operators.components import connected_components
 
-    cells = trail_cells(spark, sf).withColumn("id", F.col("ci") * 1000000 + F.col("cj") + 500000)
+    cells = cells.withColumn("id", F.col("ci") * 1000000 + F.col("cj") + 500000)
     step = F.explode(F.array(*[F.lit(d) for d in (1, 999999, 1000000, 1000001)]))
     edges = cells.select("id", step.alias("d")).select(F.col("id").alias("a"), (F.col("id") + F.col("d")).alias("b"))
     edges = edges.join(cells.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
@@ -111,6 +110,20 @@ def gap_clusters(spark, sf):
     return sums.where("size >= 4")
 
 
+@query("gap_clusters")
+def gap_clusters(spark, sf):
+    """Groups of all trail cells."""
+    return clusters(trail_cells(spark, sf))
+
+
+@query("gap_clusters_in_towns")
+def gap_clusters_in_towns(spark, sf):
+    """Groups of the trail cells that no place holds and that lie in a town; read twice, so kept once."""
+    from placekit.operators.components import materialize
+
+    return clusters(materialize(gap_cells_in_towns(spark, sf)))
+
+
 @query("chaikin_smooth", prelude("M") + ", V AS (SELECT id, x0, x1, y0, y1 FROM M) SELECT id, CAST(floor(sum(x) * 1e5) AS BIGINT) AS sum_x_e5, count(*) AS n FROM (SELECT id, unnest([0.75 * x0 + 0.25 * x1, 0.25 * x0 + 0.75 * x1, x1, x1, 0.75 * x1 + 0.25 * x0, 0.25 * x1 + 0.75 * x0, x0, x0]) AS x FROM V) GROUP BY id")
 def chaikin_smooth(spark, sf):
     """One pass of corner cutting: each edge gives the points at a quarter and three quarters."""
