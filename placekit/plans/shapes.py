@@ -97,6 +97,16 @@ def prop_clean(spark, sf):
     return e.select("event_id", F.explode(clean_properties(bag, 8)).alias("k", "v"))
 
 
+@query("prop_clean_120", "SELECT event_id, k, v FROM (SELECT event_id, 'type' AS k, substr(trim(event_type), 1, 120) AS v FROM events UNION ALL SELECT event_id, 'props', substr(trim(props), 1, 120) FROM events UNION ALL SELECT event_id, 'long', substr(repeat(trim(props), 20), 1, 120) FROM events) WHERE v IS NOT NULL AND v <> ''")
+def prop_clean_120(spark, sf):
+    """Values cut at 120 characters; one property is long enough for it."""
+    from placekit.sources.files import clean_properties
+
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    bag = F.create_map(F.lit("type"), "event_type", F.lit("props"), F.col("props"), F.lit("long"), F.repeat(F.trim("props"), 20))
+    return e.select("event_id", F.explode(clean_properties(bag)).alias("k", "v"))
+
+
 def clusters(cells):
     """8-connected groups of four cells or more: neighbours meet in cell joins, groups by contracting stars."""
     from placekit.operators.components import connected_components
