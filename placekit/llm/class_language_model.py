@@ -3,20 +3,23 @@
 log10 P(text) = sum over tokens of log10 P(class | class before) + log10 P(word | class). Tokens are the
 words (ASCII letters lowered) and one end after each text, which also stands before the first word.
 
-Every word has a class. Words with at least 1 / ``UNITS`` of all tokens (so at most ``UNITS`` of them) are
-units of the clustering each for itself; the others share ``BINS`` units by their last three bytes.
-Exchange: starting from classes dealt by frequency, each round moves half of the units to the class
-in which the likelihood of the class bigrams, counted over the whole corpus, is best, until few move.
+Every word of the corpus has a class of its own, found by exchange: starting from classes dealt by hash, each round
+moves half of the words, each to the class in which the likelihood of the class bigrams, counted over the whole
+corpus, is best. Rounds end when two in turn move words with less than ``FEW`` of the tokens, or raise the likelihood
+by less than 0.0001 a token. Words and bigrams stay in distributed tables, joined by 64-bit hashes of the words; only classes of words
+with at least 1 / ``HEAVY`` of the tokens are broadcast, so no common word's bigrams meet in one task.
+A word that training has not seen takes the class that most words with the hash of its last three bytes have.
 Transitions are smoothed towards the frequency of classes; emissions by one count for each word of the class
 and for one unknown word.
 
 Counts of words cover all training texts. Words with at least 1 / ``HEAVY`` of the tokens (at most
 ``HEAVY``) go to every executor; the rest meet their counts in a join, so nothing is broadcast that the
-vocabulary could outgrow. Null texts are empty: their end alone is scored. Equal texts are scored once.
+vocabulary could outgrow; so do their classes. Null texts are empty: their end alone is scored. Equal texts are scored once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 
 from placekit.llm.common import bucket_of, materialize, read_table, text_key
 
-UNITS, BINS, HEAVY = 1 << 14, 1 << 10, 1 << 19
-CLASSES, ROUNDS, SMOOTH = 64, 8, 2.0
+BINS, HEAVY = 1 << 10, 1 << 19
+CLASSES, SMOOTH, FEW = 64, 2.0, 0.002
 END = b""
 
 
@@ -43,26 +46,31 @@ def bin_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % BINS
 
 
+def id_of(word: bytes) -> int:
+    """A negative number; those from 0 on are left to the places of heavy words."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") % (1 << 63) - (1 << 63)
+
+
 @dataclass
 class Model:
-    """What scoring needs on every executor: sizes are bounded by UNITS, BINS, HEAVY and CLASSES."""
+    """What scoring needs on every executor: sizes are bounded by BINS, HEAVY and CLASSES."""
 
     total: int
     distinct: int
     heavy: dict[bytes, tuple[int, int]]  # word -> (count, class)
-    bin_class: np.ndarray
+    unseen: np.ndarray  # class of a word that training has not seen, by bin
     transition: np.ndarray  # log10 P(column | row)
     room: np.ndarray  # log10 of the denominators of the emissions
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word, n over whole texts."""
+    """word, id, n over whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array([id_of(w) for w in seen], pa.int64()), pa.array(seen.values(), pa.int64())], names=["word", "id", "n"])
 
         for b in batches:
             for x in b.column(0).cast(pa.binary()):
@@ -73,185 +81,222 @@ def count_words(docs: DataFrame) -> DataFrame:
         if seen:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
+    return docs.select("text").mapInArrow(run, "word binary, id long, n long").groupBy("word", "id").agg(F.sum("n").alias("n"))
 
-def _unit_totals(counts: DataFrame, unit: dict[bytes, int], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each unit."""
-    known = counts.sparkSession.sparkContext.broadcast(unit)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        get, base = known.value.get, size - BINS
-        for b in batches:
-            words = b.column(0).to_pylist()
-            at = np.array([get(w, -1) for w in words], np.int64)
-            rare = np.flatnonzero(at < 0)
-            at[rare] = [base + bin_of(words[i]) for i in rare]
-            np.add.at(n, at, b.column(1).to_numpy())
-            np.add.at(v, at, 1)
-        some = np.flatnonzero(v)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(v[some])], names=["unit", "n", "v"])
-
-    rows = counts.mapInArrow(run, "unit long, n long, v long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    n, v = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for r in rows:
-        n[r["unit"]], v[r["unit"]] = r["n"], r["v"]
-    return n, v
-
-
-def _bigrams(docs: DataFrame, unit: dict[bytes, int], size: int) -> DataFrame:
-    """a, b, n: how often a unit follows a unit, over whole texts."""
-    known = docs.sparkSession.sparkContext.broadcast(unit)
+def _bigrams(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """Blocks of a, b, n: how often a word follows a word, over whole texts, by their ids; those of heavy words are their places in ``heavy``."""
+    held = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, base = known.value.get, size - BINS
-        end = get(END)
-        held: list[np.ndarray] = []
+        at: dict[bytes, int] = {}
+        pairs: list[np.ndarray] = []
         rows = 0
 
         def out() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code // size), pa.array(code % size), pa.array(n)], names=["a", "b", "n"])
-
-        for b in batches:
-            for x in b.column(0).cast(pa.binary()):
-                words = tokens(x.as_py() or b"")
-                at = np.array([get(w, -1) for w in words], np.int64)
-                rare = np.flatnonzero(at < 0)
-                at[rare] = [base + bin_of(words[i]) for i in rare]
-                held.append(np.concatenate([[end], at[:-1]]) * size + at)
-                rows += len(at)
+            code, n = np.unique(np.concatenate(pairs), return_counts=True)
+            ids = np.array([id_of(w) for w in at], np.int64)
+            place = np.searchsorted(held.value, ids) % max(1, len(held.value))
+            ids = np.where(held.value[place] == ids, place, ids)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[code >> 32], ids[code & 0xFFFFFFFF], n)], names=["a", "b", "n"])
+
+        for batch in batches:
+            for x in batch.column(0).cast(pa.binary()):
+                own = np.array([at.setdefault(w, len(at)) for w in tokens(x.as_py() or b"")], np.int64)
+                pairs.append(np.concatenate([own[-1:], own[:-1]]) << 32 | own)
+                rows += len(own)
                 if rows > 4_000_000:
                     yield out()
-                    held, rows = [], 0
-        if held:
+                    at, pairs, rows = {}, [], 0
+        if pairs:
             yield out()
 
-    pairs = docs.select("text").mapInArrow(run, "a long, b long, n long")
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(run, "a long, b long, n long")
+    return materialize(found.groupBy("a", "b").agg(F.sum("n").alias("n")).mapInArrow(_pack, "block binary"))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bigrams as compressed blocks: checkpoints are not compressed."""
+    for b in batches:
+        a, z, n = (b.column(i).to_numpy() for i in range(3))
+        order = np.lexsort((z, a))
+        block = zlib.compress(np.concatenate([np.diff(a[order], prepend=0), z[order], n[order]]).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([block] if len(a) else [], pa.binary())], names=["block"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for block in b.column(0).to_pylist():
+            flat = np.frombuffer(zlib.decompress(block), np.uint8).reshape(8, -1).T.copy().view(np.int64).reshape(3, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.cumsum(flat[0]), flat[1], flat[2])], names=["a", "b", "n"])
+
+
+def _cells(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """id, s, n, a word's rows together: s < k tokens of class s before it, then s - k after it; s - 2k is its own class, with n = 1 if it is heavy."""
+    heavy = F.broadcast(classes.where("heavy").select(F.col("id").alias("__id"), "c"))  # HEAVY rows at most
+    light = classes.where("NOT heavy").select(F.col("id").alias("__id"), "c")
+
+    every = pairs.mapInArrow(_unpack, "a long, b long, n long")
+
+    def side(by: str, to: str, first: int) -> DataFrame:
+        on = F.col(by) == F.col("__id")
+        met = every.where(F.col(by) >= 0).join(heavy, on).unionByName(every.where(F.col(by) < 0).join(light, on))
+        return met.select(F.col(to).alias("id"), (F.col("c") + first).alias("s"), "n")
+
+    sums = side("a", "b", 0).unionByName(side("b", "a", k)).groupBy("id", "s").agg(F.sum("n").alias("n"))
+    own = classes.select("id", (F.col("c") + 2 * k).alias("s"), F.col("heavy").cast("long").alias("n"))
+    return materialize(sums.unionByName(own).repartition("id").sortWithinPartitions("id"))
 
 
-def _sides(pairs: DataFrame, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """before[u, c]: tokens of class c before unit u; after[u, c]: after it. Units x classes cells at most."""
-    size = len(classes)
-    held = pairs.sparkSession.sparkContext.broadcast(classes)
+def _whole_words(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
+    """s, n, word (0, 1, ... of the chunk), starts, ids, own class, heavy; a word's 2k + 1 rows at most are never parted."""
+    held = [np.empty(0, np.int64)] * 3
+
+    def chunk(ids, s, n):
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
+        word = np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
+        own, heavy, mine = np.zeros(len(starts), np.int64), np.zeros(len(starts), bool), s >= 2 * k
+        own[word[mine]], heavy[word[mine]] = s[mine] - 2 * k, n[mine] > 0
+        return s, np.where(mine, 0, n), word, starts, ids[starts], own, heavy
+
+    for b in batches:
+        held = [np.concatenate([h, b.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held)]
+        cut = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
+        if cut:
+            yield chunk(*[h[:cut] for h in held])
+            held = [h[cut:] for h in held]
+    if len(held[0]):
+        yield chunk(*held)
+
+
+def _class_bigrams(cells: DataFrame, k: int) -> np.ndarray:
+    """[c, d]: tokens of class d after class c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(2 * size * k)
-        for b in batches:
-            x, y, n = (b.column(i).to_numpy() for i in range(3))
-            c = held.value
-            cells += np.bincount(np.concatenate([y * k + c[x], (size + x) * k + c[y]]), np.concatenate([n, n]), len(cells))
-        some = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], names=["cell", "n"])
-
-    got = pairs.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cells = np.zeros(2 * size * k)
-    cells[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    before, after = cells.reshape(2, size, k)
-    return before, after
-
-
-def exchange(pairs: DataFrame, n: np.ndarray, k: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """Class of each unit."""
-    size = len(n)
-    order = np.argsort(-n, kind="stable")
-    classes = np.empty(size, np.int64)
-    classes[order] = np.arange(size) % k
-    turn = np.arange(size) % 2
-    for step in range(rounds):
-        before, after = _sides(pairs, classes, k)
-        both = np.zeros((k, k))
-        np.add.at(both, classes, after)  # both[c, d]: d after c
-        both += 0.1
-        left, right = both.sum(1), both.sum(0)
-        gain = np.log(both) - np.log(left)[:, None] - np.log(right)[None, :]
-        value = before @ gain + after @ gain.T
-        best = value.argmax(1)
-        better = value[np.arange(size), best] > value[np.arange(size), classes] + 1e-9
-        move = better & (turn == step % 2) & (n > 0)
-        classes = np.where(move, best, classes)
-        if step > 2 and move.mean() < 0.002:
-            break
-    return classes
+        both = np.zeros(k * k)
+        for s, n, word, _, _, own, _ in _whole_words(batches, k):
+            after = (s >= k) & (s < 2 * k)
+            both += np.bincount(own[word[after]] * k + s[after] - k, n[after], k * k)
+        some = np.flatnonzero(both)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(both[some])], names=["cell", "n"])
+
+    got = cells.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    both = np.zeros(k * k)
+    both[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return both.reshape(k, k)
+
+
+def _moved(cells: DataFrame, gain: np.ndarray, turn: int, k: int) -> DataFrame:
+    """id, heavy, c, moved (tokens of the word if its class is another now); words of the other turn stay."""
+    weight = np.concatenate([gain, gain.T, np.zeros((k, k))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, n, word, starts, ids, own, heavy in _whole_words(batches, k):
+            value = np.add.reduceat(weight[s] * n[:, None], starts)
+            best, at = value.argmax(1), np.arange(len(starts))
+            move = (value[at, best] > value[at, own] + 1e-9) & ((ids >> 6 & 1) == turn)
+            size = np.bincount(word, np.where(s < k, n, 0), len(starts)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, heavy, np.where(move, best, own), np.where(move, size, 0))], names=["id", "heavy", "c", "moved"])
+
+    return materialize(cells.mapInArrow(run, "id long, heavy boolean, c long, moved long"))
+
+
+def exchange(pairs: DataFrame, classes: DataFrame, total: int, k: int = CLASSES) -> tuple[DataFrame, np.ndarray]:
+    """(id, heavy, c) after the last round, and the class bigrams of these classes."""
+    step = quiet = 0
+    most = -np.inf
+    while True:
+        cells = _cells(pairs, classes, k)
+        both = _class_bigrams(cells, k)
+        some, sums = both[both > 0], both.sum(0)
+        likelihood = (some * np.log(some)).sum() - 2 * (sums[sums > 0] * np.log(sums[sums > 0])).sum()
+        # two rounds in turn, one for each half of the words
+        quiet = quiet + 1 if step and (moved < FEW * total or likelihood <= most + 1e-4 * total) else 0
+        if quiet == 2 or not total:
+            return classes, both
+        most = max(most, likelihood)
+        smooth = both + 0.1
+        gain = np.log(smooth) - np.log(smooth.sum(1))[:, None] - np.log(smooth.sum(0))[None, :]
+        classes = _moved(cells, gain, step % 2, k)
+        moved = classes.agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0]
+        step += 1
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """(text) of training rows -> model, and the counts of all words."""
+    """(text) of training rows -> model, and word, n, c of all words."""
     counts = materialize(count_words(docs))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    common = counts.where((F.col("n") * HEAVY >= total)).toArrow()
-    heavy = dict(zip(common.column("word").to_pylist(), common.column("n").to_pylist(), strict=True))
-    heavy.setdefault(END, 0)
-    unit = {w: i for i, w in enumerate(sorted((w for w, n in heavy.items() if n * UNITS >= total or w == END), key=lambda w: (-heavy[w], w)))}
-    size = len(unit) + BINS
-    n, v = _unit_totals(counts, unit, size)
-    pairs = materialize(_bigrams(docs, unit, size))
-    classes = exchange(pairs, n)
-    _, after = _sides(pairs, classes, CLASSES)
-    both = np.zeros((CLASSES, CLASSES))
-    np.add.at(both, classes, after)
+    # the end is always among the heavy words
+    heavy = (F.col("n") * HEAVY >= total) | (F.length("word") == 0)
+    common = np.sort(counts.where(heavy).select("id").toArrow().column("id").to_numpy())
+    pairs = _bigrams(docs, common)
+    places = F.broadcast(counts.sparkSession.createDataFrame(pa.table({"id": common, "place": np.arange(len(common))}))) if len(common) else None
+    counts = counts.join(places, "id", "left").withColumn("id", F.coalesce("place", "id")).drop("place") if places else counts
+    start = counts.select("id", (F.col("id") >= 0).alias("heavy"), F.pmod("id", F.lit(CLASSES)).alias("c")).dropDuplicates(["id"])
+    classes, both = exchange(pairs, start, total)
+    known = materialize(counts.join(classes.select("id", "c"), "id").select("word", "n", "c"))
+    sizes = np.zeros(CLASSES)
+    for r in known.groupBy("c").agg(F.sum(F.col("n") + 1).alias("n")).collect():
+        sizes[r["c"]] = r["n"]
+    bins = np.zeros((BINS, CLASSES))
+    tail = F.pmod(F.crc32(F.when(F.length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))), F.lit(BINS))
+    for r in known.groupBy(tail.alias("bin"), "c").agg(F.count(F.lit(1)).alias("v")).collect():
+        bins[r["bin"], r["c"]] = r["v"]
+    bins[bins.sum(1) == 0] = bins.sum(0)
     of = both.sum(0) + 1
     chance = of / of.sum()
     transition = np.log10((both + SMOOTH * CLASSES * chance) / (both.sum(1, keepdims=True) + SMOOTH * CLASSES))
-    room = np.log10(np.bincount(classes, n + v, CLASSES) + 1)
-    base = size - BINS
-    known = {w: (c, int(classes[unit[w]] if w in unit else classes[base + bin_of(w)])) for w, c in heavy.items()}
-    return Model(int(total), int(distinct), known, classes[base:], transition, room), counts
+    top = known.where(heavy).toArrow()
+    words = {w: (n, c) for w, n, c in zip(*(top.column(x).to_pylist() for x in ("word", "n", "c")), strict=True)}
+    words.setdefault(END, (0, 0))
+    return Model(int(total), int(distinct), words, bins.argmax(1), transition, np.log10(sizes + 1)), known
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, known: DataFrame) -> DataFrame:
     """key (of the text), n_tokens, n_known, base_score, score for each text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = held.value.heavy
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                keys, words = [], []
+                for key, text in zip(b.column(0).slice(lo, 1000).to_pylist(), b.column(1).slice(lo, 1000).cast(pa.binary()), strict=True):
+                    own = {w for w in tokens(text.as_py() or b"") if w not in heavy}
+                    keys += [key] * len(own)
+                    words += own
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words, pa.binary())], names=["key", "word"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
-        words = list(m.heavy)
-        at_word = {w: i for i, w in enumerate(words)}.get
-        count = np.array([m.heavy[w][0] for w in words], np.int64)
-        kind = np.array([m.heavy[w][1] for w in words], np.int64)
-        weight = np.log10(count + 1.0)
-        end = kind[at_word(END)]
         room = np.log10(m.total + m.distinct + 1)
+        end = m.heavy[END][1]
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                out: list[list] = [[], [], [], [], [], [], []]
-                for key, text in zip(b.column(0).slice(lo, 1000).to_pylist(), b.column(1).slice(lo, 1000).cast(pa.binary()), strict=True):
-                    ws = tokens(text.as_py() or b"")
-                    at = np.array([at_word(w, -1) for w in ws], np.int64)
-                    rare = np.flatnonzero(at < 0)
-                    classes = kind[at]
-                    if len(rare):
-                        classes[rare] = m.bin_class[[bin_of(ws[i]) for i in rare]]
-                    own = at[at >= 0]
-                    share = weight[own].sum()  # the counts of the other words come by the join
-                    path = m.transition[np.concatenate([[end], classes[:-1]]), classes].sum() - m.room[classes].sum()
-                    some = Counter(ws[i] for i in rare)
-                    # a text's own row has a word that no text holds, as it has a space
-                    n = 1 + len(some)
-                    for column, v in zip(out, ([key] * n, [b" " + key, *some], [0, *some.values()], [len(ws)] + [0] * len(some), [int((count[own] > 0).sum())] + [0] * len(some), [share - len(ws) * room] + [0.0] * len(some), [share + path] + [0.0] * len(some)), strict=True):
-                        column += v
-                kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "word", "times", "n_tokens", "n_known", "base", "path"])
-
-    parts = docs.select(text_key().alias("key"), "text").mapInArrow(run, "key binary, word binary, times int, n_tokens long, n_known long, base double, path double")
-    light = counts.where(F.col("n") * HEAVY < model.total).select(F.col("word").alias("__word"), "n")
-    joined = parts.join(light, F.col("word") == F.col("__word"), "left")
-    share = F.coalesce(F.col("times") * F.log10(F.col("n") + F.lit(1.0)), F.lit(0.0))
-    sums = joined.groupBy("key").agg(
-        F.count(F.when(F.col("times") == 0, 1)).alias("copies"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + share).alias("base"), F.sum(F.col("path") + share).alias("path"),
-    )
-    each = lambda c: (F.col(c) / F.col("copies")).cast("long").alias(c)  # noqa: E731  rows of equal texts were summed
-    return sums.select("key", each("n_tokens"), each("n_known"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("path") / F.col("copies")).alias("score"))
+            out: list[list] = [[], [], [], [], []]
+            for key, text, light in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2), strict=True):
+                ws = tokens(text.as_py() or b"")
+                own = {r["word"]: (r["n"], r["c"]) for r in light.as_py() or []}
+                found = [m.heavy.get(w) or own.get(w) or (0, int(m.unseen[bin_of(w)])) for w in ws]
+                n, classes = np.array(found, np.int64).T
+                share = np.log10(n + 1.0).sum()
+                path = m.transition[np.concatenate([[end], classes[:-1]]), classes].sum() - m.room[classes].sum()
+                for column, v in zip(out, (key, len(ws), int((n > 0).sum()), share - len(ws) * room, share + path), strict=True):
+                    column.append(v)
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "n_tokens", "n_known", "base_score", "score"])
+
+    texts = docs.select(text_key().alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
+    light = known.where((F.col("n") * HEAVY < model.total) & (F.length("word") > 0)).select(F.col("word").alias("__word"), "n", "c")
+    met = texts.mapInArrow(rest, "key binary, word binary").join(light, F.col("word") == F.col("__word"))
+    lists = met.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("word", "n", "c")).alias("light"))  # a text's words
+    every = texts.join(lists, F.col("key") == F.col("__key"), "left").select("key", "text", "light")
+    return every.mapInArrow(run, "key binary, n_tokens long, n_known long, base_score double, score double")
 
 
 def op7_class_language_model(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = bucket_of(F.col("doc_id"), 7) == 2
-    model, counts = train(docs.where(~held_out))
-    scores = score(docs, model, counts).withColumnRenamed("key", "__key")
+    model, known = train(docs.where(~held_out))
+    scores = score(docs, model, known).withColumnRenamed("key", "__key")
     out = docs.select("doc_id", held_out.alias("held_out"), text_key().alias("key")).join(scores, F.col("key") == F.col("__key"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
