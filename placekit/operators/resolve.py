@@ -1,8 +1,6 @@
-"""Entity resolution: candidates by cells, then a greedy fold whose result depends on order.
+"""Entity resolution: candidates by cells, and greedy suppression of near places of one name.
 
-``fold_exact`` is the ordered fold over all rows, one task a pass: for tables that one task holds,
-some ten thousand places. ``resolve`` folds each connected block of candidate pairs for itself and
-repeats until no pair is left; blocks, not the table, have to fit a task.
+The ordered fold over candidates (E04-E08 of the survey) is not built.
 """
 
 import pandas as pd
