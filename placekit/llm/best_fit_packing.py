@@ -6,12 +6,17 @@ the sequences with the least room that fits; it has at most ``capacity`` counts
 size doesn't follow the number of documents. Pieces then take the planned slots by their rank
 within their length, for which no length has to be in one task.
 
-Null texts are empty: the end id alone. Repeated rows are packed each for itself.
+Null texts are empty: the end id alone. Repeated rows are packed each for itself; rows that agree in
+(doc_id, piece, ids_crc32) and length take their slots in either order. A null id is an id like any other.
+A text of any length is tokenised whole. An empty table gives an empty table. Columns other than doc_id
+and text are never read, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,9 +31,8 @@ from placekit.llm.common import materialize, read_table, salted_rank
 
 CAPACITY = 2048
 PARTS = 32
-#: Words whose ids a worker remembers, from one task to the next.
-MEMORY = 700_000
-_KNOWN: dict[str, dict[bytes, bytes]] = {}
+#: Bytes of words and ids that a task remembers, about.
+MEMORY = 150_000_000
 
 
 def plan_best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -68,10 +72,68 @@ def plan_best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
     return rows
 
 
-def _atoms(word: bytes) -> tuple[bytes, ...]:
-    """A word, or its letters and the marks after them: the tokenizer never joins a mark with a letter before it."""
-    stem = word.rstrip(b".,!?*#$%&")
-    return (stem, word[len(stem) :]) if len(stem) < len(word) and stem[-1:].isalpha() else (word,)
+def _byte_letters() -> dict[int, str]:
+    """The letter that the byte-level alphabet has for each byte: printable ones stand for themselves, others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Ids as unsigned 32-bit numbers, the least byte first."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class WordCoder:
+    """Ids of words between spaces, by the tokenizer of a file; the words of a task are encoded once.
+
+    Letters of ASCII and Latin-1, and the marks after them, are pieces of their own for the tokenizer; what it does
+    before its model (composing, lowering letters, splitting, bytes to letters) is plain for them, so the model is
+    asked straight away. Every other word goes through the whole tokenizer. ``most`` bounds the bytes remembered.
+    """
+
+    _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?*#$%&]*)")
+
+    def __init__(self, tokenizer: str, most: int = MEMORY) -> None:
+        from tokenizers import Tokenizer
+
+        self._whole = Tokenizer.from_file(tokenizer)
+        self._model, self._letters, self._most = self._whole.model, _byte_letters(), most
+        self._known: dict[bytes, bytes] = {}
+        self._atoms: dict[str, bytes] = {"": b""}
+        self._size = 0
+
+    def _atom(self, s: str) -> bytes:
+        letters = s.lower()
+        if not s.isascii():
+            letters = letters.encode().decode("latin-1").translate(self._letters)
+        ids = _packed([t.id for t in self._model.tokenize(letters)])
+        self._atoms[s] = ids
+        self._size += len(s) + len(ids) + 200
+        return ids
+
+    def learn(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self._known]
+        if self._size > self._most:  # remembered words go, those of the texts at hand are encoded anew
+            self._known, self._atoms, self._size = {}, {"": b""}, 0
+            new = list(words)
+        other = []
+        for w in new:
+            m = self._PLAIN.fullmatch(w.decode())
+            if m is None:
+                other.append(w)
+                continue
+            stem, marks = m.groups()
+            a, b = self._atoms.get(stem), self._atoms.get(marks)
+            ids = (self._atom(stem) if a is None else a) + (self._atom(marks) if b is None else b)
+            self._known[w] = ids
+            self._size += len(w) + len(ids) + 200
+        for w, e in zip(other, self._whole.encode_batch([w.decode() for w in other], add_special_tokens=False), strict=True):
+            self._known[w] = ids = _packed(e.ids)
+            self._size += len(w) + len(ids) + 200
+
+    def ids(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self._known.__getitem__, words))
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
@@ -83,27 +145,17 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_file(tokenizer)
-        known = _KNOWN.setdefault(tokenizer, {})
-        tail = np.array([end], "<u4").tobytes()
+        coder = WordCoder(tokenizer)
+        tail = _packed([end])
         blank = bytes.maketrans(b"\n\r\t", b"   ")
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            if len(known) > MEMORY:
-                known.clear()
             for lo in range(0, b.num_rows, 128):
                 part = [(x.as_py() or b"").translate(blank) for x in b.column(1).slice(lo, 128).cast(pa.binary())]
                 part = [(t if b"<|" in t else t.lower()).split(b" ") for t in part]
-                new = {w: _atoms(w) for w in set().union(*part) - known.keys()}
-                atoms = list(set().union(*new.values()) - known.keys())
-                for w, e in zip(atoms, coder.encode_batch([w.decode() for w in atoms], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-                for w, pieces in new.items():
-                    known[w] = b"".join(map(known.__getitem__, pieces))
+                coder.learn(set().union(*part))
                 for doc, words in zip(b.column(0).slice(lo, 128).to_pylist(), part, strict=True):
-                    ids = b"".join(map(known.__getitem__, words)) + tail
+                    ids = coder.ids(words) + tail
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]
                         for column, v in zip(out, (doc, piece, at // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
