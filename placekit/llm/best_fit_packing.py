@@ -84,56 +84,55 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class WordCoder:
-    """Ids of words between spaces, by the tokenizer of a file; the words of a task are encoded once.
+class WordCoder(dict):
+    """Ids of words between spaces, by the tokenizer of a file: a word is encoded when it is first looked up.
 
     Letters of ASCII and Latin-1, and the marks after them, are pieces of their own for the tokenizer; what it does
     before its model (composing, lowering letters, splitting, bytes to letters) is plain for them, so the model is
-    asked straight away. Every other word goes through the whole tokenizer. ``most`` bounds the bytes remembered.
+    asked straight away. Every other word goes through the whole tokenizer.
     """
 
-    _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?*#$%&]*)")
+    _PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+    _MARKS = b".,!?*#$%&"
 
     def __init__(self, tokenizer: str, most: int = MEMORY) -> None:
+        super().__init__()
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(tokenizer)
         self._model, self._letters, self._most = self._whole.model, _byte_letters(), most
-        self._known: dict[bytes, bytes] = {}
-        self._atoms: dict[str, bytes] = {"": b""}
         self._size = 0
 
-    def _atom(self, s: str) -> bytes:
-        letters = s.lower()
-        if not s.isascii():
-            letters = letters.encode().decode("latin-1").translate(self._letters)
-        ids = _packed([t.id for t in self._model.tokenize(letters)])
-        self._atoms[s] = ids
-        self._size += len(s) + len(ids) + 200
+    def _keep(self, word: bytes, ids: bytes) -> bytes:
+        self[word] = ids
+        self._size += len(word) + len(ids) + 160
         return ids
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self._known]
-        if self._size > self._most:  # remembered words go, those of the texts at hand are encoded anew
-            self._known, self._atoms, self._size = {}, {"": b""}, 0
-            new = list(words)
-        other = []
-        for w in new:
-            m = self._PLAIN.fullmatch(w.decode())
-            if m is None:
-                other.append(w)
-                continue
-            stem, marks = m.groups()
-            a, b = self._atoms.get(stem), self._atoms.get(marks)
-            ids = (self._atom(stem) if a is None else a) + (self._atom(marks) if b is None else b)
-            self._known[w] = ids
-            self._size += len(w) + len(ids) + 200
-        for w, e in zip(other, self._whole.encode_batch([w.decode() for w in other], add_special_tokens=False), strict=True):
-            self._known[w] = ids = _packed(e.ids)
-            self._size += len(w) + len(ids) + 200
+    def _piece(self, word: bytes) -> bytes:
+        """Ids of plain letters, or of marks alone."""
+        ids = self.get(word)
+        if ids is None:
+            text = word.decode().lower()
+            text = text if text.isascii() else text.encode().decode("latin-1").translate(self._letters)
+            ids = self._keep(word, _packed([t.id for t in self._model.tokenize(text)]))
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        stem = word.rstrip(self._MARKS)
+        if stem and not stem.isalpha() and not self._PLAIN.fullmatch(stem):
+            return self._keep(word, _packed(self._whole.encode(word.decode(), add_special_tokens=False).ids))
+        if stem and len(stem) < len(word):
+            return self._keep(word, self._piece(stem) + self._piece(word[len(stem) :]))
+        return self._piece(word) if word else b""
 
     def ids(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self._known.__getitem__, words))
+        return b"".join(map(self.__getitem__, words))
+
+    def bound(self) -> None:
+        """Forget everything if more than the bytes allowed are remembered."""
+        if self._size > self._most:
+            self.clear()
+            self._size = 0
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
@@ -153,9 +152,9 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int
             for lo in range(0, b.num_rows, 128):
                 part = [(x.as_py() or b"").translate(blank) for x in b.column(1).slice(lo, 128).cast(pa.binary())]
                 part = [(t if b"<|" in t else t.lower()).split(b" ") for t in part]
-                coder.learn(set().union(*part))
                 for doc, words in zip(b.column(0).slice(lo, 128).to_pylist(), part, strict=True):
                     ids = coder.ids(words) + tail
+                    coder.bound()
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]
                         for column, v in zip(out, (doc, piece, at // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
