@@ -3,37 +3,44 @@
 log10 P(text) = sum over tokens of log10 P(class | class before) + log10 P(word | class). Tokens are the
 words (ASCII letters lowered) and one end after each text, which also stands before the first word.
 
-Every word of the corpus has a class of its own, found by exchange: starting from classes dealt by hash, each round
-moves half of the words, each to the class in which the likelihood of the class bigrams, counted over the whole
-corpus, is best. Rounds end when two in turn move words with less than ``FEW`` of the tokens, or raise the likelihood
-by less than 0.0001 a token. Words and bigrams stay in distributed tables, joined by 64-bit hashes of the words; only classes of words
-with at least 1 / ``HEAVY`` of the tokens are broadcast, so no common word's bigrams meet in one task.
-A word that training has not seen takes the class that most words with the hash of its last three bytes have.
-Transitions are smoothed towards the frequency of classes; emissions by one count for each word of the class
-and for one unknown word.
-
-Counts of words cover all training texts. Words with at least 1 / ``HEAVY`` of the tokens (at most
-``HEAVY``) go to every executor; the rest meet their counts in a join, so nothing is broadcast that the
-vocabulary could outgrow; so do their classes. Null texts are empty: their end alone is scored. Equal texts are scored once.
+Texts are read once, into blocks: the distinct words of some texts and the numbers of their words in order. Every word of
+the training texts has a class found by exchange, by the class bigrams counted over the whole corpus:
+
+* Words with at least 1 / ``HEAVY`` of the tokens (``HEAVY`` at most) are the contexts; all others together are one context more. Bigrams of
+  contexts are summed in ``RANGES`` parts of the words, each with all that stands before and after its words. Starting from classes
+  dealt by hash, each round moves half of the words, each to the class of the best likelihood. Rounds end when
+  two in turn move words with less than ``FEW`` of the tokens, or raise the likelihood by less than 0.0001 a token.
+* A rarer word is no context of its own, so the classes around it don't change any more: one more step places each such word
+  where its own neighbours, counted over the whole corpus, are likeliest. Its counts meet by word, in sorted order.
+
+Class bigrams are then counted anew over all tokens and all words. A word that training has not seen takes the class that
+most words with the hash of its last three bytes have. Transitions are smoothed towards the frequency of classes; emissions by
+one count for each word of the class and for one unknown word.
+
+On every executor are at most ``HEAVY`` words with their classes. Null texts are empty: their end alone is scored. Equal texts have equal scores,
+repeated rows each their own row, ties between classes go to the lower number. A long text is never parted: a block ends after a text.
+An empty table gives an empty table. Columns other than the id and the text are never read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placekit.llm.common import bucket_of, materialize, read_table, text_key
+from placekit.llm.common import bucket_of, materialize, read_table
 
-BINS, HEAVY = 1 << 10, 1 << 19
+BINS, HEAVY = 1 << 10, 1 << 18
 CLASSES, SMOOTH, FEW = 64, 2.0, 0.002
+#: Tokens of a block, about. Parts of the heavy words. Blocks whose bigrams one task sums up, at most about.
+BLOCK, RANGES, FAN = 6_000_000, 64, 512
 END = b""
 
 
@@ -46,257 +53,479 @@ def bin_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % BINS
 
 
-def id_of(word: bytes) -> int:
-    """A negative number; those from 0 on are left to the places of heavy words."""
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") % (1 << 63) - (1 << 63)
-
-
 @dataclass
 class Model:
     """What scoring needs on every executor: sizes are bounded by BINS, HEAVY and CLASSES."""
 
     total: int
     distinct: int
-    heavy: dict[bytes, tuple[int, int]]  # word -> (count, class)
+    heavy: dict[bytes, int]  # word -> its place in the arrays
+    counts: np.ndarray
+    classes: np.ndarray
     unseen: np.ndarray  # class of a word that training has not seen, by bin
-    transition: np.ndarray  # log10 P(column | row)
     room: np.ndarray  # log10 of the denominators of the emissions
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word, id, n over whole texts."""
+class _Places(dict):
+    """Words in the order in which they are first looked up."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array([id_of(w) for w in seen], pa.int64()), pa.array(seen.values(), pa.int64())], names=["word", "id", "n"])
 
-        for b in batches:
-            for x in b.column(0).cast(pa.binary()):
-                seen.update(tokens(x.as_py() or b""))
-                if len(seen) > 600_000:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+def _zip(*arrays: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes."""
+    flat = [np.array([len(a) for a in arrays], np.int64), *(a.astype(np.int64) for a in arrays)]
+    return zlib.compress(b"".join([len(arrays).to_bytes(4, "little"), *(a.view(np.uint8).reshape(-1, 8).T.tobytes() for a in flat)]), 1)
+
+
+def _unzip(data: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    many, at = int.from_bytes(raw[:4].tobytes(), "little"), 4
 
-    return docs.select("text").mapInArrow(run, "word binary, id long, n long").groupBy("word", "id").agg(F.sum("n").alias("n"))
+    def take(n: int) -> np.ndarray:
+        nonlocal at
+        at += 8 * n
+        return np.ascontiguousarray(raw[at - 8 * n : at].reshape(8, n).T).view(np.int64).reshape(-1)
 
+    return [take(int(n)) for n in take(many)]
 
-def _bigrams(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """Blocks of a, b, n: how often a word follows a word, over whole texts, by their ids; those of heavy words are their places in ``heavy``."""
-    held = docs.sparkSession.sparkContext.broadcast(heavy)
+
+def encode(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, train) -> block, n (training tokens), words, tokens, ids, train: one row for each block of texts.
+
+    words: those of the block, after the end; tokens: their places, text after text, an end after each. Both are compressed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict[bytes, int] = {}
-        pairs: list[np.ndarray] = []
-        rows = 0
+        first, made = TaskContext.get().partitionId() << 12, 0
+        at, parts, ids, train, rows, n = _Places({END: 0}), [], [], [], 0, 0
 
         def out() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(pairs), return_counts=True)
-            ids = np.array([id_of(w) for w in at], np.int64)
-            place = np.searchsorted(held.value, ids) % max(1, len(held.value))
-            ids = np.where(held.value[place] == ids, place, ids)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[code >> 32], ids[code & 0xFFFFFFFF], n)], names=["a", "b", "n"])
+            stream = np.concatenate(parts)
+            wide = stream.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            row = {"block": pa.array([first + made], pa.int64()), "n": pa.array([n], pa.int64()), "words": pa.array([zlib.compress(b"\n".join(at), 1)], pa.binary()), "tokens": pa.array([zlib.compress(wide, 1)], pa.binary()), "ids": pa.array([ids], pa.list_(pa.int64())), "train": pa.array([train], pa.list_(pa.bool_()))}
+            return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
 
-        for batch in batches:
-            for x in batch.column(0).cast(pa.binary()):
-                own = np.array([at.setdefault(w, len(at)) for w in tokens(x.as_py() or b"")], np.int64)
-                pairs.append(np.concatenate([own[-1:], own[:-1]]) << 32 | own)
+        for b in batches:
+            for doc, x, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist(), strict=True):
+                own = tokens(x.as_py() or b"")
+                parts.append(np.fromiter(map(at.__getitem__, own), np.int32, len(own)))
+                ids.append(doc)
+                train.append(t)
                 rows += len(own)
-                if rows > 4_000_000:
+                n += len(own) if t else 0
+                if rows >= BLOCK:
                     yield out()
-                    at, pairs, rows = {}, [], 0
-        if pairs:
+                    made += 1
+                    at, parts, ids, train, rows, n = _Places({END: 0}), [], [], [], 0, 0
+        if ids:
             yield out()
 
-    found = docs.select("text").mapInArrow(run, "a long, b long, n long")
-    return materialize(found.groupBy("a", "b").agg(F.sum("n").alias("n")).mapInArrow(_pack, "block binary"))
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigrams as compressed blocks: checkpoints are not compressed."""
-    for b in batches:
-        a, z, n = (b.column(i).to_numpy() for i in range(3))
-        order = np.lexsort((z, a))
-        block = zlib.compress(np.concatenate([np.diff(a[order], prepend=0), z[order], n[order]]).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([block] if len(a) else [], pa.binary())], names=["block"])
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for block in b.column(0).to_pylist():
-            flat = np.frombuffer(zlib.decompress(block), np.uint8).reshape(8, -1).T.copy().view(np.int64).reshape(3, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.cumsum(flat[0]), flat[1], flat[2])], names=["a", "b", "n"])
-
+    found = docs.select(F.col("doc_id").cast("long"), "text", "train").mapInArrow(run, "block long, n long, words binary, tokens binary, ids array<long>, train array<boolean>")
+    return materialize(found)
 
-def _cells(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """id, s, n, a word's rows together: s < k tokens of class s before it, then s - k after it; s - 2k is its own class, with n = 1 if it is heavy."""
-    heavy = F.broadcast(classes.where("heavy").select(F.col("id").alias("__id"), "c"))  # HEAVY rows at most
-    light = classes.where("NOT heavy").select(F.col("id").alias("__id"), "c")
 
-    every = pairs.mapInArrow(_unpack, "a long, b long, n long")
+def _words(data: bytes) -> list[bytes]:
+    return zlib.decompress(data).split(b"\n")
 
-    def side(by: str, to: str, first: int) -> DataFrame:
-        on = F.col(by) == F.col("__id")
-        met = every.where(F.col(by) >= 0).join(heavy, on).unionByName(every.where(F.col(by) < 0).join(light, on))
-        return met.select(F.col(to).alias("id"), (F.col("c") + first).alias("s"), "n")
 
-    sums = side("a", "b", 0).unionByName(side("b", "a", k)).groupBy("id", "s").agg(F.sum("n").alias("n"))
-    own = classes.select("id", (F.col("c") + 2 * k).alias("s"), F.col("heavy").cast("long").alias("n"))
-    return materialize(sums.unionByName(own).repartition("id").sortWithinPartitions("id"))
+def _stream(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def _whole_words(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
-    """s, n, word (0, 1, ... of the chunk), starts, ids, own class, heavy; a word's 2k + 1 rows at most are never parted."""
-    held = [np.empty(0, np.int64)] * 3
+def _of_text(stream: np.ndarray, flags: list[bool]) -> np.ndarray:
+    """The flag of its text for each token."""
+    ends = np.flatnonzero(stream == 0)
+    return np.repeat(np.array(flags, bool), np.diff(ends, prepend=-1))
 
-    def chunk(ids, s, n):
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
-        word = np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
-        own, heavy, mine = np.zeros(len(starts), np.int64), np.zeros(len(starts), bool), s >= 2 * k
-        own[word[mine]], heavy[word[mine]] = s[mine] - 2 * k, n[mine] > 0
-        return s, np.where(mine, 0, n), word, starts, ids[starts], own, heavy
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(words, tokens, train) -> word, n in training texts."""
     for b in batches:
-        held = [np.concatenate([h, b.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held)]
-        cut = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
-        if cut:
-            yield chunk(*[h[:cut] for h in held])
-            held = [h[cut:] for h in held]
-    if len(held[0]):
-        yield chunk(*held)
-
+        for words, data, train in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            stream, words = _stream(data), _words(words)
+            n = np.bincount(stream[_of_text(stream, train)], minlength=len(words))
+            some = np.flatnonzero(n)
+            for lo in range(0, len(some), 50_000):
+                part = some[lo : lo + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in part], pa.binary()), pa.array(n[part])], names=["word", "n"])
 
-def _class_bigrams(cells: DataFrame, k: int) -> np.ndarray:
-    """[c, d]: tokens of class d after class c."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros(k * k)
-        for s, n, word, _, _, own, _ in _whole_words(batches, k):
-            after = (s >= k) & (s < 2 * k)
-            both += np.bincount(own[word[after]] * k + s[after] - k, n[after], k * k)
-        some = np.flatnonzero(both)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(both[some])], names=["cell", "n"])
-
-    got = cells.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    both = np.zeros(k * k)
-    both[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return both.reshape(k, k)
 
+def _bigrams(blocks: DataFrame, held, many: int) -> DataFrame:
+    """range, data: for the heavy words of a range, how often which context stands before and after each.
 
-def _moved(cells: DataFrame, gain: np.ndarray, turn: int, k: int) -> DataFrame:
-    """id, heavy, c, moved (tokens of the word if its class is another now); words of the other turn stay."""
-    weight = np.concatenate([gain, gain.T, np.zeros((k, k))])
+    A code is (side * words of a range + word) * (contexts) + other; the context ``many`` is that of all rarer words.
+    """
+    wide = -(-many // RANGES) or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, n, word, starts, ids, own, heavy in _whole_words(batches, k):
-            value = np.add.reduceat(weight[s] * n[:, None], starts)
-            best, at = value.argmax(1), np.arange(len(starts))
-            move = (value[at, best] > value[at, own] + 1e-9) & ((ids >> 6 & 1) == turn)
-            size = np.bincount(word, np.where(s < k, n, 0), len(starts)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, heavy, np.where(move, best, own), np.where(move, size, 0))], names=["id", "heavy", "c", "moved"])
-
-    return materialize(cells.mapInArrow(run, "id long, heavy boolean, c long, moved long"))
+        heavy = held.value
+        for batch in batches:
+            for block, words, data, train in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                stream = _stream(data)
+                own = np.array([heavy.get(w, many) for w in _words(words)], np.int64)[stream]
+                before = np.concatenate([[heavy.get(END, many)], own[:-1]])
+                some = _of_text(stream, train) & ((own < many) | (before < many))
+                code, n = np.unique(before[some] * (many + 1) + own[some], return_counts=True)
+                a, b = code // (many + 1), code % (many + 1)
+                left, right = a < many, b < many
+                part = np.concatenate([a[left] // wide, b[right] // wide])
+                code = np.concatenate([a[left] % wide * (many + 1) + b[left], (wide + b[right] % wide) * (many + 1) + a[right]])
+                n = np.concatenate([n[left], n[right]])
+                order = np.lexsort((code, part))
+                part, code, n = part[order], code[order], n[order]
+                cut = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
+                made = [_zip(np.diff(code[i:j], prepend=0), n[i:j]) for i, j in zip(cut, [*cut[1:], len(part)])]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array([block] * len(cut), pa.int64()), pa.array(made, pa.binary())], names=["range", "block", "data"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for range_, rows in _grouped(batches):
+            code, n = rows
+            yield pa.RecordBatch.from_arrays([pa.array([range_ >> 32], pa.int64()), pa.array([range_ & 0xFFFFFFFF], pa.int64()), pa.array([_zip(np.diff(code, prepend=0), n)], pa.binary())], names=["range", "block", "data"])
+
+    kind = "range long, block long, data binary"
+    found = blocks.select("block", "words", "tokens", "train").mapInArrow(run, kind)
+    parts = -(-blocks.count() // FAN)
+    while True:  # a range of very many blocks is summed in parts first
+        key = (F.shiftleft("range", 32) + F.pmod(F.xxhash64("block"), F.lit(parts))).alias("key")
+        found = found.select(key, "data").repartition("key").sortWithinPartitions("key").mapInArrow(added, kind)
+        if parts <= 1:
+            return materialize(found.select("range", "data"))
+        parts = -(-parts // FAN)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """key, (code, n) summed over the rows of each key; what is held is as large as the sum, and a few rows."""
+    key, codes, ns, rows = None, [], [], 0
+
+    def total() -> tuple[np.ndarray, np.ndarray]:
+        code, n = np.concatenate(codes), np.concatenate(ns)
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], n[order]
+        cut = np.flatnonzero(np.diff(code, prepend=-1)) if len(code) else np.zeros(0, np.int64)
+        return code[cut], np.add.reduceat(n, cut) if len(cut) else n
 
+    for b in batches:
+        for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if key is not None and k != key:
+                yield key, total()
+                codes, ns, rows = [], [], 0
+            key = k
+            step, n = _unzip(data)
+            codes.append(np.cumsum(step))
+            ns.append(n)
+            rows += len(n)
+            if rows > 4_000_000 and len(codes) > 1:
+                code, n = total()
+                codes, ns, rows = [code], [n], 0
+    if key is not None:
+        yield key, total()
+
+
+def _cells(range_: int, data: bytes, classes: np.ndarray, many: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The heavy words of a range, and tokens by class after and before each (columns: classes, then the rarer words)."""
+    wide = -(-many // RANGES) or 1
+    step, n = _unzip(data)
+    code = np.cumsum(step)
+    other = np.append(classes, k)[code % (many + 1)]
+    sums = np.bincount(code // (many + 1) * (k + 1) + other, n, 2 * wide * (k + 1)).reshape(2, wide, k + 1)
+    words = np.arange(range_ * wide, min((range_ + 1) * wide, many))
+    return words, sums[0, : len(words)], sums[1, : len(words)]
+
+
+def _likelier(both: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a token of each class after it, and before it, says for the classes (columns) of a word."""
+    smooth = both + 0.1
+    gain = np.log(smooth) - np.log(smooth.sum(1))[:, None] - np.log(smooth.sum(0))[None, :]
+    return gain[:k].T, gain[:, :k]
+
+
+def exchange(bigrams: DataFrame, counts: np.ndarray, start: np.ndarray, total: int, k: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the heavy words after the last round, and the class bigrams (the last class is that of all rarer words)."""
+    spark, many = bigrams.sparkSession, len(counts)
+    classes = start.copy()
+
+    def bigrams_of(held) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            both = np.zeros((k + 1, k + 1))
+            for b in batches:
+                for range_, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    words, after, before = _cells(range_, data, held.value, many, k)
+                    np.add.at(both, held.value[words], after)
+                    both[k] += np.bincount(held.value[words], before[:, k], k + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], names=["both"])
+
+        got = [np.frombuffer(r["both"]).reshape(k + 1, k + 1) for r in bigrams.mapInArrow(run, "both binary").collect()]
+        both = np.sum(got, 0) if got else np.zeros((k + 1, k + 1))
+        both[k, k] = max(0.0, total - both.sum())
+        return both
+
+    def moved(held, both: np.ndarray, turn: int) -> np.ndarray:
+        behind, ahead = _likelier(both, k)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for range_, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    words, after, before = _cells(range_, data, held.value, many, k)
+                    value = after @ behind + before @ ahead
+                    own, at = held.value[words], np.arange(len(words))
+                    best = value.argmax(1)
+                    move = (value[at, best] > value[at, own] + 1e-9) & (words % 2 == turn)
+                    yield pa.RecordBatch.from_arrays([pa.array([words.tobytes()], pa.binary()), pa.array([np.where(move, best, own).astype(np.int64).tobytes()], pa.binary())], names=["words", "classes"])
+
+        new = held.value.copy()
+        for r in bigrams.mapInArrow(run, "words binary, classes binary").collect():  # HEAVY words at most
+            new[np.frombuffer(r["words"], np.int64)] = np.frombuffer(r["classes"], np.int64)
+        return new
 
-def exchange(pairs: DataFrame, classes: DataFrame, total: int, k: int = CLASSES) -> tuple[DataFrame, np.ndarray]:
-    """(id, heavy, c) after the last round, and the class bigrams of these classes."""
     step = quiet = 0
-    most = -np.inf
+    most, share = -np.inf, 0
     while True:
-        cells = _cells(pairs, classes, k)
-        both = _class_bigrams(cells, k)
-        some, sums = both[both > 0], both.sum(0)
-        likelihood = (some * np.log(some)).sum() - 2 * (sums[sums > 0] * np.log(sums[sums > 0])).sum()
+        held = spark.sparkContext.broadcast(classes)
+        both = bigrams_of(held)
+        some, out, into = both[both > 0], both.sum(1), both.sum(0)
+        likelihood = (some * np.log(some)).sum() - (out[out > 0] * np.log(out[out > 0])).sum() - (into[into > 0] * np.log(into[into > 0])).sum()
         # two rounds in turn, one for each half of the words
-        quiet = quiet + 1 if step and (moved < FEW * total or likelihood <= most + 1e-4 * total) else 0
+        quiet = quiet + 1 if step and (share < FEW * total or likelihood <= most + 1e-4 * total) else 0
         if quiet == 2 or not total:
             return classes, both
         most = max(most, likelihood)
-        smooth = both + 0.1
-        gain = np.log(smooth) - np.log(smooth.sum(1))[:, None] - np.log(smooth.sum(0))[None, :]
-        classes = _moved(cells, gain, step % 2, k)
-        moved = classes.agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0]
+        new = moved(held, both, step % 2)
+        share, classes = int(counts[new != classes].sum()), new
+        held.unpersist()
         step += 1
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """(text) of training rows -> model, and word, n, c of all words."""
-    counts = materialize(count_words(docs))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # the end is always among the heavy words
-    heavy = (F.col("n") * HEAVY >= total) | (F.length("word") == 0)
-    common = np.sort(counts.where(heavy).select("id").toArrow().column("id").to_numpy())
-    pairs = _bigrams(docs, common)
-    places = F.broadcast(counts.sparkSession.createDataFrame(pa.table({"id": common, "place": np.arange(len(common))}))) if len(common) else None
-    counts = counts.join(places, "id", "left").withColumn("id", F.coalesce("place", "id")).drop("place") if places else counts
-    start = counts.select("id", (F.col("id") >= 0).alias("heavy"), F.pmod("id", F.lit(CLASSES)).alias("c")).dropDuplicates(["id"])
-    classes, both = exchange(pairs, start, total)
-    known = materialize(counts.join(classes.select("id", "c"), "id").select("word", "n", "c"))
-    sizes = np.zeros(CLASSES)
-    for r in known.groupBy("c").agg(F.sum(F.col("n") + 1).alias("n")).collect():
-        sizes[r["c"]] = r["n"]
-    bins = np.zeros((BINS, CLASSES))
-    tail = F.pmod(F.crc32(F.when(F.length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))), F.lit(BINS))
-    for r in known.groupBy(tail.alias("bin"), "c").agg(F.count(F.lit(1)).alias("v")).collect():
-        bins[r["bin"], r["c"]] = r["v"]
+def _contexts(held, classes, many: int, k: int):
+    """(block, words, tokens, train) -> word, place (block and place there), cells: a byte for each class before, and k + 1 more after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, known = held.value, np.append(classes.value, k)
+        for batch in batches:
+            for block, words, data, train in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                stream, words = _stream(data), _words(words)
+                own = np.array([heavy.get(w, many) for w in words], np.int64)
+                rare = np.flatnonzero(own == many)
+                slot = known[own[stream]]
+                at = np.flatnonzero((own[stream] == many) & _of_text(stream, train))
+                before = np.where(at > 0, slot[at - 1], known[heavy.get(END, many)])
+                number = np.zeros(len(words), np.int64)
+                number[rare] = np.arange(len(rare))
+                code = np.concatenate([number[stream[at]] << 8 | before, number[stream[at]] << 8 | slot[at + 1] + k + 1])
+                code.sort()
+                ends = np.concatenate([[0], np.cumsum(np.bincount(code >> 8, minlength=len(rare)))])
+                cells = (code & 255).astype(np.uint8)
+                for lo in range(0, len(rare), 50_000):
+                    hi = min(lo + 50_000, len(rare))
+                    off = (ends[lo : hi + 1] - ends[lo]).astype(np.int32)
+                    data_ = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(cells[ends[lo] : ends[hi]].tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in rare[lo:hi]], pa.binary()), pa.array((block << 31) + rare[lo:hi]), data_], names=["word", "place", "cells"])
+
+    return run
+
+
+def _placed(batches: Iterator[pa.RecordBatch], behind: np.ndarray, ahead: np.ndarray, k: int):
+    """Whole words from sorted rows (word, place, cells): words, counts, classes, and for each row its word's number and place.
+
+    Held between batches are the counts by class of the last word and the places of its rows, 8 bytes for each block that has it.
+    """
+    both = 2 * (k + 1)
+    weight = np.concatenate([ahead, behind])
+    word, sums, places = None, np.zeros(both), np.zeros(0, np.int64)
+
+    def out(words, sums, number, places):
+        n = sums[:, : k + 1].sum(1)
+        return words, n.astype(np.int64), (sums @ weight).argmax(1), number, places
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cells = b.column(2)
+        off = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
+        slots = np.frombuffer(cells.buffers()[2], np.uint8)[off[0] : off[-1]] if cells.buffers()[2] is not None else np.zeros(0, np.uint8)
+        names = b.column(0)
+        fresh = np.ones(len(names), bool)
+        if len(names) > 1:
+            fresh[1:] = pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)
+        fresh[0] = names[0].as_py() != word
+        number = np.cumsum(fresh)  # 0: the word held
+        own = np.bincount(np.repeat(number, np.diff(off)) * both + slots, minlength=(number[-1] + 1) * both).reshape(-1, both)
+        own[0] += sums.astype(own.dtype)
+        words = [word, *names.filter(pa.array(fresh)).to_pylist()]
+        at = b.column(1).to_numpy()
+        last = int(number[-1])
+        whole = number < last
+        if last:
+            skip = word is None
+            rows = np.concatenate([np.zeros(len(places), np.int64), number[whole]])
+            yield out(words[skip:last], own[skip:last], rows - skip, np.concatenate([places, at[whole]]))
+            places = at[~whole]
+        else:
+            places = np.concatenate([places, at])
+        word, sums = words[last], own[last]
+    if word is not None:
+        yield out([word], sums[None], np.zeros(len(places), np.int64), places)
+
+
+def _rare(contexts: DataFrame, both: np.ndarray, k: int) -> DataFrame:
+    """block, bin, data, counts. Packs of place, count and class of the rarer words of a block; and, without a block, by bin the words of each
+    class, then the sums of count + 1, then the number of words."""
+    behind, ahead = _likelier(both, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, sizes, distinct, held, rows = np.zeros((BINS, k), np.int64), np.zeros(k, np.int64), 0, [], 0
+
+        def packs() -> pa.RecordBatch:
+            place, n, c = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(place)
+            place, n, c = place[order], n[order], c[order]
+            block = place >> 31
+            cut = np.flatnonzero(np.diff(block, prepend=-1))
+            data = [_zip(np.diff(place[i:j] & 0x7FFFFFFF, prepend=0), n[i:j], c[i:j]) for i, j in zip(cut, [*cut[1:], len(place)])]
+            return pa.RecordBatch.from_arrays([pa.array(block[cut]), pa.nulls(len(cut), pa.int32()), pa.array(data, pa.binary()), pa.nulls(len(cut), pa.list_(pa.int64()))], names=["block", "bin", "data", "counts"])
+
+        for words, n, c, number, places in _placed(batches, behind, ahead, k):
+            seen = n > 0
+            where = np.array([bin_of(w) for w in words], np.int64)
+            np.add.at(bins, (where[seen], c[seen]), 1)
+            sizes += np.bincount(c[seen], n[seen] + 1, k).astype(np.int64)
+            distinct += int(seen.sum())
+            live = seen[number]
+            held.append((places[live], n[number[live]], c[number[live]]))
+            rows += int(live.sum())
+            if rows > 400_000:
+                yield packs()
+                held, rows = [], 0
+        if rows:
+            yield packs()
+        some = np.flatnonzero(bins.any(1))
+        kinds, counts = [*some.tolist(), BINS, BINS + 1], [*bins[some].tolist(), sizes.tolist(), [distinct] + [0] * (k - 1)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(kinds), pa.int64()), pa.array(kinds, pa.int32()), pa.nulls(len(kinds), pa.binary()), pa.array(counts, pa.list_(pa.int64()))], names=["block", "bin", "data", "counts"])
+
+    by_word = contexts.repartition("word").sortWithinPartitions("word")
+    return materialize(by_word.mapInArrow(run, "block long, bin int, data binary, counts array<long>"))
+
+
+def _heavy(blocks: DataFrame, least: int) -> tuple[int, dict[bytes, int], np.ndarray]:
+    """Tokens of the training texts; the heavy words with their places, in their own order, and their counts. The end is always among them."""
+    total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = blocks.select("words", "tokens", "train").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.where((F.col("n") * least >= total) | (F.length("word") == 0)).toArrow()
+    found = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True)) | ({} if total else {END: 0})
+    words = sorted(found)
+    return int(total), {w: i for i, w in enumerate(words)}, np.array([found[w] for w in words], np.int64)
+
+
+def _fit(blocks: DataFrame, k: int, least: int):
+    """The model without transitions, the packs of rarer words, their contexts and the class bigrams of the contexts."""
+    sc = blocks.sparkSession.sparkContext
+    total, heavy, counts = _heavy(blocks, least)
+    held, many = sc.broadcast(heavy), len(heavy)
+    start = np.array([zlib.crc32(w) % k for w in heavy], np.int64)
+    classes, both = exchange(_bigrams(blocks, held, many), counts, start, total, k)
+    known = sc.broadcast(classes)
+    contexts = blocks.select("block", "words", "tokens", "train").mapInArrow(_contexts(held, known, many, k), "word binary, place long, cells binary")
+    rare = _rare(contexts, both, k)
+    bins, sizes, distinct = np.zeros((BINS, k), np.int64), np.zeros(k, np.int64), 0
+    for r in rare.where("bin IS NOT NULL").groupBy("bin").agg(F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(k)]).alias("counts")).collect():
+        if r["bin"] < BINS:
+            bins[r["bin"]] = r["counts"]
+        elif r["bin"] == BINS:
+            sizes += r["counts"]
+        else:
+            distinct = r["counts"][0]
+    for w, n, c in zip(heavy, counts, classes, strict=True):
+        if n:
+            bins[bin_of(w), c] += 1
+            sizes[c] += n + 1
+            distinct += 1
     bins[bins.sum(1) == 0] = bins.sum(0)
-    of = both.sum(0) + 1
-    chance = of / of.sum()
-    transition = np.log10((both + SMOOTH * CLASSES * chance) / (both.sum(1, keepdims=True) + SMOOTH * CLASSES))
-    top = known.where(heavy).toArrow()
-    words = {w: (n, c) for w, n, c in zip(*(top.column(x).to_pylist() for x in ("word", "n", "c")), strict=True)}
-    words.setdefault(END, (0, 0))
-    return Model(int(total), int(distinct), words, bins.argmax(1), transition, np.log10(sizes + 1)), known
+    model = Model(total, distinct, heavy, counts, classes, bins.argmax(1), np.log10(sizes + 1.0))
+    return model, rare.where("block IS NOT NULL").select("block", "data"), contexts, both
 
 
-def score(docs: DataFrame, model: Model, known: DataFrame) -> DataFrame:
-    """key (of the text), n_tokens, n_known, base_score, score for each text."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def train(docs: DataFrame, k: int = CLASSES, least: int = HEAVY) -> tuple[Model, DataFrame]:
+    """(text) of training rows -> model, and word, n, c of all words."""
+    blocks = encode(docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("train")))
+    model, _, contexts, both = _fit(blocks, k, least)
+    behind, ahead = _likelier(both, k)
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = held.value.heavy
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                keys, words = [], []
-                for key, text in zip(b.column(0).slice(lo, 1000).to_pylist(), b.column(1).slice(lo, 1000).cast(pa.binary()), strict=True):
-                    own = {w for w in tokens(text.as_py() or b"") if w not in heavy}
-                    keys += [key] * len(own)
-                    words += own
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words, pa.binary())], names=["key", "word"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, n, c, _, _ in _placed(batches, behind, ahead, k):
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(c)], names=["word", "n", "c"])
+
+    rare = contexts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, n long, c long")
+    top = pa.table({"word": pa.array(list(model.heavy), pa.binary()), "n": model.counts, "c": model.classes})
+    return model, docs.sparkSession.createDataFrame(top).where("n > 0").unionByName(rare)
+
+
+def _classed(held):
+    """(words, tokens, ids, train, packs) -> ids, train, ends, n_known, shares, emissions, stream of classes, class bigrams of training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
-        room = np.log10(m.total + m.distinct + 1)
-        end = m.heavy[END][1]
+        k = len(m.room)
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for key, text, light in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2), strict=True):
-                ws = tokens(text.as_py() or b"")
-                own = {r["word"]: (r["n"], r["c"]) for r in light.as_py() or []}
-                found = [m.heavy.get(w) or own.get(w) or (0, int(m.unseen[bin_of(w)])) for w in ws]
-                n, classes = np.array(found, np.int64).T
-                share = np.log10(n + 1.0).sum()
-                path = m.transition[np.concatenate([[end], classes[:-1]]), classes].sum() - m.room[classes].sum()
-                for column, v in zip(out, (key, len(ws), int((n > 0).sum()), share - len(ws) * room, share + path), strict=True):
+            out: list[list] = [[] for _ in range(8)]
+            for words, data, ids, train, packs in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                stream, words = _stream(data), _words(words)
+                place = np.array([m.heavy.get(w, -1) for w in words], np.int64)
+                n, c = np.where(place >= 0, m.counts[place], 0), np.where(place >= 0, m.classes[place], -1)
+                for p in packs or ():
+                    step, many, cls = _unzip(p)
+                    at = np.cumsum(step)
+                    n[at], c[at] = many, cls
+                for i in np.flatnonzero(c < 0):
+                    c[i] = m.unseen[bin_of(words[i])]
+                ends = np.flatnonzero(stream == 0)
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                share, own = np.log10(n + 1.0)[stream], c[stream]
+                before = np.concatenate([[c[0]], own[:-1]])
+                some = _of_text(stream, train)
+                bigrams = np.bincount(before[some] * k + own[some], minlength=k * k)
+                sums = np.add.reduceat(share, starts), np.add.reduceat(m.room[own], starts), np.add.reduceat((n > 0)[stream].astype(np.int64), starts)
+                made = ids, train, ends.astype(np.int64).tobytes(), sums[2].tobytes(), sums[0].tobytes(), (sums[0] - sums[1]).tobytes(), zlib.compress(own.astype(np.uint8).tobytes(), 1), bigrams.tolist()
+                for column, v in zip(out, made, strict=True):
                     column.append(v)
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "n_tokens", "n_known", "base_score", "score"])
+            kinds = pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5, pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["ids", "train", "ends", "known", "share", "emission", "classes", "bigrams"])
+
+    return run, "ids array<long>, train array<boolean>, ends binary, known binary, share binary, emission binary, classes binary, bigrams array<long>"
+
+
+def fit_and_score(docs: DataFrame, k: int = CLASSES, least: int = HEAVY) -> tuple[Model, DataFrame]:
+    """(doc_id, text, train) -> model, and doc_id, train, n_tokens, n_known, base_score, score of all rows; the model learns from those marked."""
+    sc = docs.sparkSession.sparkContext
+    blocks = encode(docs)
+    model, rare, _, _ = _fit(blocks, k, least)
+    held = sc.broadcast(model)
+    lists = rare.groupBy(F.col("block").alias("__block")).agg(F.collect_list("data").alias("packs"))  # a block's words
+    met = blocks.join(lists, F.col("block") == F.col("__block"), "left").select("words", "tokens", "ids", "train", "packs")
+    classed = materialize(met.mapInArrow(*_classed(held)))
+    sums = classed.select(F.posexplode("bigrams").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
+    both = np.zeros(k * k)
+    for r in sums:
+        both[r["at"]] = r["n"]
+    both = both.reshape(k, k)
+    of = both.sum(0) + 1
+    transition = np.log10((both + SMOOTH * k * of / of.sum()) / (both.sum(1, keepdims=True) + SMOOTH * k))
+    end, room = int(model.classes[model.heavy[END]]), np.log10(model.total + model.distinct + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, train, ends, known, share, emission, data in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                ends, own = np.frombuffer(ends, np.int64), np.frombuffer(zlib.decompress(data), np.uint8)
+                n, share = np.diff(ends, prepend=-1), np.frombuffer(share)
+                path = np.add.reduceat(transition[np.concatenate([[end], own[:-1]]), own], np.concatenate([[0], ends[:-1] + 1]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(train, pa.bool_()), pa.array(n), pa.array(np.frombuffer(known, np.int64)), pa.array(share - n * room), pa.array(np.frombuffer(emission) + path)], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
-    texts = docs.select(text_key().alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
-    light = known.where((F.col("n") * HEAVY < model.total) & (F.length("word") > 0)).select(F.col("word").alias("__word"), "n", "c")
-    met = texts.mapInArrow(rest, "key binary, word binary").join(light, F.col("word") == F.col("__word"))
-    lists = met.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("word", "n", "c")).alias("light"))  # a text's words
-    every = texts.join(lists, F.col("key") == F.col("__key"), "left").select("key", "text", "light")
-    return every.mapInArrow(run, "key binary, n_tokens long, n_known long, base_score double, score double")
+    cheap = classed.select("ids", "train", "ends", "known", "share", "emission", "classes")
+    return model, cheap.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def op7_class_language_model(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = bucket_of(F.col("doc_id"), 7) == 2
-    model, known = train(docs.where(~held_out))
-    scores = score(docs, model, known).withColumnRenamed("key", "__key")
-    out = docs.select("doc_id", held_out.alias("held_out"), text_key().alias("key")).join(scores, F.col("key") == F.col("__key"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    model, scores = fit_and_score(docs.withColumn("train", bucket_of(F.col("doc_id"), 7) != 2))
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
