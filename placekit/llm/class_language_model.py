@@ -40,7 +40,7 @@ from placekit.llm.common import bucket_of, materialize, read_table
 BINS, HEAVY = 1 << 10, 1 << 18
 CLASSES, SMOOTH, FEW = 64, 2.0, 0.002
 #: Tokens of a block, about. Parts of the heavy words. Blocks whose bigrams one task sums up, at most about.
-BLOCK, RANGES, FAN = 6_000_000, 64, 512
+BLOCK, RANGES, FAN = 1_500_000, 64, 1024
 END = b""
 
 
@@ -132,7 +132,13 @@ def _words(data: bytes) -> list[bytes]:
 
 
 def _stream(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows one by one: a block is large."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in batch.columns)
 
 
 def _of_text(stream: np.ndarray, flags: list[bool]) -> np.ndarray:
@@ -144,7 +150,7 @@ def _of_text(stream: np.ndarray, flags: list[bool]) -> np.ndarray:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(words, tokens, train) -> word, n in training texts."""
     for b in batches:
-        for words, data, train in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for words, data, train in _rows(b):
             stream, words = _stream(data), _words(words)
             n = np.bincount(stream[_of_text(stream, train)], minlength=len(words))
             some = np.flatnonzero(n)
@@ -163,12 +169,12 @@ def _bigrams(blocks: DataFrame, held, many: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = held.value
         for batch in batches:
-            for block, words, data, train in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for block, words, data, train in _rows(batch):
                 stream = _stream(data)
-                own = np.array([heavy.get(w, many) for w in _words(words)], np.int64)[stream]
-                before = np.concatenate([[heavy.get(END, many)], own[:-1]])
+                own = np.array([heavy.get(w, many) for w in _words(words)], np.int32)[stream]
+                before = np.roll(own, 1)  # the stream ends with an end
                 some = _of_text(stream, train) & ((own < many) | (before < many))
-                code, n = np.unique(before[some] * (many + 1) + own[some], return_counts=True)
+                code, n = np.unique(before[some].astype(np.int64) * (many + 1) + own[some], return_counts=True)
                 a, b = code // (many + 1), code % (many + 1)
                 left, right = a < many, b < many
                 part = np.concatenate([a[left] // wide, b[right] // wide])
@@ -304,16 +310,16 @@ def _contexts(held, classes, many: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, known = held.value, np.append(classes.value, k)
         for batch in batches:
-            for block, words, data, train in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for block, words, data, train in _rows(batch):
                 stream, words = _stream(data), _words(words)
                 own = np.array([heavy.get(w, many) for w in words], np.int64)
                 rare = np.flatnonzero(own == many)
-                slot = known[own[stream]]
-                at = np.flatnonzero((own[stream] == many) & _of_text(stream, train))
-                before = np.where(at > 0, slot[at - 1], known[heavy.get(END, many)])
+                slot = known[own].astype(np.uint8)[stream]
+                at = np.flatnonzero((own == many)[stream] & _of_text(stream, train))
                 number = np.zeros(len(words), np.int64)
                 number[rare] = np.arange(len(rare))
-                code = np.concatenate([number[stream[at]] << 8 | before, number[stream[at]] << 8 | slot[at + 1] + k + 1])
+                where = number[stream[at]] << 8
+                code = np.concatenate([where | slot[at - 1], where | slot[at + 1] + k + 1])  # before the first word is an end, as at the end
                 code.sort()
                 ends = np.concatenate([[0], np.cumsum(np.bincount(code >> 8, minlength=len(rare)))])
                 cells = (code & 255).astype(np.uint8)
@@ -469,7 +475,7 @@ def _classed(held):
         k = len(m.room)
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
-            for words, data, ids, train, packs in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for words, data, ids, train, packs in _rows(b):
                 stream, words = _stream(data), _words(words)
                 place = np.array([m.heavy.get(w, -1) for w in words], np.int64)
                 n, c = np.where(place >= 0, m.counts[place], 0), np.where(place >= 0, m.classes[place], -1)
@@ -481,11 +487,10 @@ def _classed(held):
                     c[i] = m.unseen[bin_of(words[i])]
                 ends = np.flatnonzero(stream == 0)
                 starts = np.concatenate([[0], ends[:-1] + 1])
-                share, own = np.log10(n + 1.0)[stream], c[stream]
-                before = np.concatenate([[c[0]], own[:-1]])
-                some = _of_text(stream, train)
-                bigrams = np.bincount(before[some] * k + own[some], minlength=k * k)
-                sums = np.add.reduceat(share, starts), np.add.reduceat(m.room[own], starts), np.add.reduceat((n > 0)[stream].astype(np.int64), starts)
+                own = c.astype(np.uint8)[stream]
+                pairs = np.roll(own, 1).astype(np.int32) * k + own
+                bigrams = np.bincount(pairs[_of_text(stream, train)], minlength=k * k)
+                sums = np.add.reduceat(np.log10(n + 1.0)[stream], starts), np.add.reduceat(m.room[own], starts), np.add.reduceat((n > 0)[stream], starts, dtype=np.int64)
                 made = ids, train, ends.astype(np.int64).tobytes(), sums[2].tobytes(), sums[0].tobytes(), (sums[0] - sums[1]).tobytes(), zlib.compress(own.astype(np.uint8).tobytes(), 1), bigrams.tolist()
                 for column, v in zip(out, made, strict=True):
                     column.append(v)
@@ -511,14 +516,14 @@ def fit_and_score(docs: DataFrame, k: int = CLASSES, least: int = HEAVY) -> tupl
     both = both.reshape(k, k)
     of = both.sum(0) + 1
     transition = np.log10((both + SMOOTH * k * of / of.sum()) / (both.sum(1, keepdims=True) + SMOOTH * k))
-    end, room = int(model.classes[model.heavy[END]]), np.log10(model.total + model.distinct + 1)
+    room = np.log10(model.total + model.distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, train, ends, known, share, emission, data in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            for ids, train, ends, known, share, emission, data in _rows(b):
                 ends, own = np.frombuffer(ends, np.int64), np.frombuffer(zlib.decompress(data), np.uint8)
                 n, share = np.diff(ends, prepend=-1), np.frombuffer(share)
-                path = np.add.reduceat(transition[np.concatenate([[end], own[:-1]]), own], np.concatenate([[0], ends[:-1] + 1]))
+                path = np.add.reduceat(transition[np.roll(own, 1), own], np.concatenate([[0], ends[:-1] + 1]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(train, pa.bool_()), pa.array(n), pa.array(np.frombuffer(known, np.int64)), pa.array(share - n * room), pa.array(np.frombuffer(emission) + path)], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     cheap = classed.select("ids", "train", "ends", "known", "share", "emission", "classes")
