@@ -2,11 +2,11 @@
 
 Base secrets (assignments, access keys, long hex) are always reported. Weak candidates (a name of
 an account, a value that looks random, an address) are reported only if at most ``scope`` code
-points lie between them and a complementary part: the parts are joined as intervals, over buckets
-of about that width, so that no pairs inside a document are made.
+points lie between them and a complementary part, which has to be other characters than their own: the parts of a text are joined as
+intervals, by running extremes over their sorted ends and starts, so that no pairs are made.
 
-Null texts count as empty and have no span. Equal texts are searched once. Positions are code
-points, ends exclusive. Columns other than ``text`` are carried and never read.
+Null texts count as empty and have no span. Equal texts are searched once, and repeated rows each get a row. Positions are code
+points, ends exclusive; spans of one start are told in the order of the kinds. Long texts are searched whole. An empty table gives an empty table. Columns other than ``text`` are carried and never read.
 """
 
 from __future__ import annotations
@@ -58,26 +58,28 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def link_parts(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Base spans, and the weak candidates near to a complementary part.
+    """Base spans, and the weak candidates near to a complementary part that shares no character with them.
 
-    An interval semi-join: spans stand in every bucket that they touch, and for each key, bucket and part
-    the first start and the last end decide about the candidates of this bucket and its neighbours. A bucket
-    is one wider than ``scope``, so that a gap of ``scope`` reaches no further than the next one. Rows stay
-    linear in the text: spans of a kind don't overlap.
+    An interval semi-join by order: in a text, the last end of each part at or before a candidate's start, and the first
+    start at or after its end, are running extremes over the sorted ends and starts. Rows stay linear in the spans.
     """
     part = F.create_map(*[F.lit(x) for kv in PART.items() for x in kv])[F.col("kind")]
-    touched = F.sequence(*[F.floor(c / F.lit(scope + 1)) for c in (F.col("start"), F.col("end") - 1)])
-    spans = spans.withColumn("part", part)
-    base, weak = spans.where(F.col("kind").isin(*BASE)), spans.where(~F.col("kind").isin(*BASE)).withColumn("bucket", F.explode(touched))
-    ends = spans.withColumn("bucket", F.explode(touched)).groupBy("key", "bucket", "part").agg(F.min("start").alias("first"), F.max("end").alias("last"))
-    near = ends.select(F.col("key").alias("k"), F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("b"), F.col("part").alias("p"), "first", "last")
-    needs = F.lit(False)
+    weak = ~F.col("kind").isin(*BASE)
+    # at equal places a part counts for the candidate that it touches: ends, then candidates' starts; candidates' ends, then starts
+    rows = [F.struct(F.col(at).alias("at"), F.lit(o).alias("o"), F.lit(side).alias("side")) for at, o, side in (("end", 0, "part"), ("start", 1, "left"), ("end", 2, "right"), ("start", 3, "part"))]
+    rows = F.filter(F.array(*rows), lambda r: (r["side"] == "part") | weak)
+    events = spans.withColumn("part", part).select("key", "kind", "start", "end", "part", F.explode(rows).alias("e")).select("*", "e.*").drop("e")
+    before = Window.partitionBy("key").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("key").orderBy(F.col("at").desc(), F.col("o").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    linked = F.lit(False)
     for p, others in NEEDS.items():
-        needs = needs | ((F.col("part") == p) & F.col("p").isin(*others))
-    close = (F.col("last") >= F.col("start") - scope) & (F.col("first") <= F.col("end") + scope)
-    linked = weak.join(near, (F.col("key") == F.col("k")) & (F.col("bucket") == F.col("b")) & needs & close, "left_semi")
-    linked = linked.drop("bucket").dropDuplicates(["key", "kind", "start", "end"])  # a long candidate stands in several buckets
-    return base.unionByName(linked).select("key", "kind", "start", "end")
+        is_end, is_start = ((F.col("side") == "part") & (F.col("o") == o) & F.col("part").isin(*others) for o in (0, 3))
+        last, first = F.max(F.when(is_end, F.col("end"))).over(before), F.min(F.when(is_start, F.col("start"))).over(after)
+        events = events.withColumns({f"last_{p}": last, f"first_{p}": first})
+        gap = F.when(F.col("side") == "left", F.col("start") - F.col(f"last_{p}")).when(F.col("side") == "right", F.col(f"first_{p}") - F.col("end"))
+        linked = linked | ((F.col("part") == p) & F.coalesce(gap <= scope, F.lit(False)))
+    near = events.where(linked).select("key", "kind", "start", "end").dropDuplicates()
+    return spans.where(~weak).select("key", "kind", "start", "end").unionByName(near)
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
