@@ -1,8 +1,9 @@
 """Media columns: Netpbm and BMP decoded to arrays, area-resized by integral images, kept as NPY tiles.
 
-A medium that is null, cut short or of no known format gives null results and an ``error``; an
-image without pixels is such a case. Equal bytes give equal results. Rows are handled one by one
-in Arrow batches, so memory follows the largest medium of a batch.
+A medium that is null, cut short, of no known format, or holds a sample that is no number or above its maximum gives
+null results and an ``error``; an image without pixels is such a case. Equal bytes give equal results, ties between
+neighbouring cells a 0 in the hash. Rows are handled 256 at a time: their media and pixels are held together. Null and empty
+texts are one row of bytes 0; long ones are kept whole. An empty table gives an empty table. Extra columns are carried; one of the name of a result is an error.
 """
 
 from __future__ import annotations
@@ -35,14 +36,21 @@ def decode_netpbm(data: bytes) -> np.ndarray:
             raise ValueError("no maximum value")
         at = t.end()
     shape = (h, w, 3) if kind in (3, 6) else (h, w)
-    n = int(np.prod(shape))
+    n = h * w * (3 if kind in (3, 6) else 1)
     if not n:
         raise ValueError("no pixels")
+    if n > 8 * len(data):  # a bit at least for each
+        raise ValueError("cut short")
     if kind == 1:
-        bits = np.frombuffer(re.sub(rb"#[^\n]*\n|\s", b"", data[at:]), np.uint8)[:n] - 48
-        out = np.where(bits == 0, 255, 0).astype(np.uint8)
+        bits = re.sub(rb"#[^\n]*\n|\s", b"", data[at:])[:n]
+        if bits.strip(b"01"):
+            raise ValueError("a bit that is neither 0 nor 1")
+        out = np.where(np.frombuffer(bits, np.uint8) == 48, 255, 0).astype(np.uint8)
     elif kind in (2, 3):
-        out = np.array(re.sub(rb"#[^\n]*\n", b" ", data[at:]).split()[:n], dtype=np.int64)
+        words = re.sub(rb"#[^\n]*\n", b" ", data[at:]).split()[:n]
+        if not all(w.isdigit() and len(w) < 9 for w in words):
+            raise ValueError("a sample that is no number")
+        out = np.array(words, dtype=np.int64)
     elif kind == 4:
         row = (w + 7) // 8
         raw = np.frombuffer(data, np.uint8, count=row * h, offset=at + 1).reshape(h, row)
@@ -51,6 +59,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         out = np.frombuffer(data, np.uint8 if top < 256 else ">u2", count=n, offset=at + 1)
     if out.size != n:
         raise ValueError("cut short")
+    if kind not in (1, 4) and int(out.max()) > top:
+        raise ValueError("a sample above the maximum")
     return out.reshape(shape).astype(np.uint8 if top < 256 else np.uint16, copy=False)
 
 
@@ -139,7 +149,7 @@ def media_features(df: DataFrame, media: str, tile: int = 32) -> DataFrame:
             gray = to_gray(pixels)
             top = np.clip(np.rint(area_resize(gray, tile, tile)), 0, np.iinfo(pixels.dtype).max).astype(pixels.dtype)
             return *pixels.shape[:2], pixels.tobytes(), difference_hash(gray), npy_bytes(top), None
-        except (ValueError, IndexError) as e:
+        except (ValueError, IndexError, OverflowError) as e:
             return None, None, None, None, None, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +164,11 @@ def media_features(df: DataFrame, media: str, tile: int = 32) -> DataFrame:
     return df.mapInArrow(run, f"{fields}, height long, width long, pixels binary, dhash string, tile binary, error string")
 
 
+def write_tiles(df: DataFrame, path: str, keys: list[str], tile: str = "tile") -> None:
+    """The NPY tiles of ``media_features`` with their keys, as Parquet; a tile is what ``numpy.load`` reads from its bytes."""
+    df.select(*keys, F.col(tile).alias("tile"), "height", "width", "dhash", "error").write.mode("overwrite").parquet(path)
+
+
 def store_texts(docs: DataFrame, row: int = 64) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as UTF-8, filled with bytes 0 to rows of ``row``, as a PGM image."""
 
