@@ -11,7 +11,8 @@ blocks go on to a last merge.
 Vectors that are null or hold a null or non-finite component take no part; vectors of another number
 of components than a query's aren't its candidates. Ties go to the smaller id. Repeated ids are
 candidates each for itself, but never of a query with their own id. Products must fit 53 bits;
-larger ones are found with Python's integers and must fit 64 bits.
+larger ones are found with Python's integers and must fit 64 bits. Null ids take no part. An empty table gives an empty table. Columns
+other than the id and the vector are never read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from placekit.llm.common import materialize, read_table
 
 #: Rows of a block of candidates, and of queries, at most about.
-BLOCK, QUERIES = 4096, 1024
+BLOCK, QUERIES = 8192, 2048
+#: Parts over which the pairs of blocks are found.
+SALTS = 32
 #: Longest vectors that give the first bounds. They are broadcast: this many at most.
 SEEDS = 2048
 #: Local cosine from which coordinates prune better than lengths.
@@ -103,11 +106,24 @@ def search_block(q_ids, q, bounds, c_ids, c, k: int) -> list[tuple[int, int, int
     return out
 
 
+def _stored(m: np.ndarray) -> tuple[str, bytes]:
+    """The narrowest whole numbers that hold the matrix."""
+    top = int(np.abs(m).max(initial=0))
+    kind = next(k for k, most in (("i1", 127), ("i2", 32767), ("i4", (1 << 31) - 1), ("i8", 1 << 63)) if top <= most)
+    return kind, m.astype(kind).tobytes()
+
+
 def _pack(kind: str):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         m = _matrix(pdf["v"])
-        extra = {"bounds": [pdf["bound"].to_numpy(np.int64).tobytes()], "reach": [float((pdf["bound"] / np.maximum(np.sqrt(pdf["norm2"]), 1e-300)).where(pdf["bound"] > 0, -1.0).min())]} if kind == "q" else {"longest": [float(np.sqrt(pdf["norm2"].max()))]}
-        return pd.DataFrame({"dim": [m.shape[1]], "block": [pdf["block"].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()]} | extra)
+        own = np.sqrt(np.maximum(pdf["norm2"].to_numpy(float), 0))
+        if kind == "q":
+            bound = pdf["bound"].to_numpy(np.int64)
+            extra = {"bounds": [bound.tobytes()], "reach": [float(np.where(bound > 0, bound / np.where(own > 0, own, 1.0), -1.0).min())]}
+        else:
+            extra = {"longest": [float(own.max())]}
+        how, data = _stored(m)
+        return pd.DataFrame({"dim": [m.shape[1]], "block": [pdf["block"].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "how": [how], "m": [data]} | extra)
 
     return pack
 
@@ -143,22 +159,30 @@ def top_k(vectors: DataFrame, key: str, column: str, is_query: Column, k: int =
         return df.withColumn("block", F.xxhash64("dim", "bucket", part)).drop("d", "b", "parts")
 
     bucket = F.when(F.col("norm2") > 0, F.floor(F.log2("norm2") / 2 * FINE)).otherwise(F.lit(-1)).cast("long")
-    q = blocks(rows.where("is_query").withColumn("bound", bound("id", "v")), F.lit(0).cast("long"), QUERIES)
-    q = q.groupBy("dim", "block").applyInPandas(lambda p: _pack("q")(p), "dim int, block long, ids binary, m binary, bounds binary, reach double")
-    q = q.withColumnsRenamed({"block": "q_block", "ids": "q_ids", "m": "q_m", "dim": "q_dim"})
-    c = blocks(rows, bucket, BLOCK).groupBy("dim", "block").applyInPandas(lambda p: _pack("c")(p), "dim int, block long, ids binary, m binary, longest double")
-    # packed blocks meet by dim; one in which no query reaches its bound isn't formed
-    pairs = c.join(q, (F.col("dim") == F.col("q_dim")) & (F.col("longest") >= F.col("reach") * (1 - 1e-9)))
-    pairs = pairs.repartition(F.col("block"), F.col("q_block"))
+    # queries of like bounds share a block, so that a weak one doesn't call for all blocks in the name of strong ones
+    reach = F.col("bound") / F.sqrt(F.greatest("norm2", F.lit(1e-300)))
+    strength = F.when(F.col("bound") > 0, F.floor(F.log2(reach) * FINE)).otherwise(F.lit(-(1 << 20))).cast("long")
+    q = blocks(rows.where("is_query").withColumn("bound", bound("id", "v")), strength, QUERIES)
+    q = materialize(q.groupBy("dim", "block").applyInPandas(lambda p: _pack("q")(p), "dim int, block long, ids binary, how string, m binary, bounds binary, reach double"))
+    q = q.withColumnsRenamed({"block": "q_block", "ids": "q_ids", "how": "q_how", "m": "q_m", "dim": "q_dim"})
+    c = materialize(blocks(rows, bucket, BLOCK).groupBy("dim", "block").applyInPandas(lambda p: _pack("c")(p), "dim int, block long, ids binary, how string, m binary, longest double"))
+    # only the blocks' numbers and norms meet by dim, dealt over parts; a pair in which no query reaches its bound isn't formed
+    salt = lambda name: F.pmod(F.xxhash64(name), F.lit(SALTS))
+    heads = q.select("q_dim", "q_block", "reach", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("q_salt"))
+    met = c.select("dim", "block", "longest", salt("block").alias("salt")).join(heads, (F.col("dim") == F.col("q_dim")) & (F.col("salt") == F.col("q_salt")) & (F.col("longest") >= F.col("reach") * (1 - 1e-9)))
+    # the smaller matrices, those of queries, go to each block that they call for; a block's own matrix moves once
+    called = met.select(F.col("block").alias("c_block"), F.col("q_block").alias("called")).join(q, F.col("called") == F.col("q_block"))
+    pairs = called.join(c, F.col("c_block") == F.col("block"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
                 shape = (-1, r.dim)
-                found = search_block(np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_m, np.int64).reshape(shape), np.frombuffer(r.bounds, np.int64), np.frombuffer(r.ids, np.int64), np.frombuffer(r.m, np.int64).reshape(shape), k)
+                q_m, c_m = (np.frombuffer(m, how).reshape(shape).astype(np.int64) for m, how in ((r.q_m, r.q_how), (r.m, r.how)))
+                found = search_block(np.frombuffer(r.q_ids, np.int64), q_m, np.frombuffer(r.bounds, np.int64), np.frombuffer(r.ids, np.int64), c_m, k)
                 yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    found = pairs.select("dim", "q_ids", "q_m", "bounds", "ids", "m").mapInPandas(run, "query_id long, vec_id long, score long")
+    found = pairs.select("dim", "q_ids", "q_how", "q_m", "bounds", "ids", "how", "m").mapInPandas(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
