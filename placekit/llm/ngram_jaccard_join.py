@@ -4,8 +4,8 @@ Texts are sets of five-word shingles. Each set is embedded as 64 minimum hashes.
 one sampled coordinate: sets with the same token there share a node. A node with more than ``LEAF``
 sets is split again: two coordinates are sampled by the node's number, and a set goes to the child of
 its token in each. Small nodes are leaves, in which all pairs are compared. Runs repeat: a pair of similarity s
-shares a leaf of a run with probability s times (1 - (1 - s)^2) for each further level, so eight
-runs miss about one in 40,000 pairs of similarity 0.8 (a run at full depth keeps 0.74). Levels are few, as
+shares a leaf of a run with probability s times (1 - (1 - s)^2) for each further level: at 0.8 a run keeps 0.8 without a
+split and 0.74 at full depth, so ten runs miss one pair in ten million, or one in 600,000. Levels are few, as
 a set is in two children: what three don't split is alike indeed, and is compared in blocks.
 
 Two steps compare: embeddings first tell which members of a leaf have a likely partner; the whole
@@ -15,8 +15,8 @@ one edge for each member that is joined. Connected classes follow from these edg
 
 Words are what is between white space, in lower case. A text of one to four words is one shingle.
 Null texts and texts without a word link to nothing and are a class of their own. Equal texts are
-compared once, and count as linked. A null id is an id like any other, before all others. Columns
-other than id and text are carried and never read.
+compared once, and count as linked. Repeated rows each get a row; of equal ids in a class one row is kept. A null id is an id like any other, before all others. Long texts
+are compared whole. An empty table gives an empty table. Columns other than id and text are carried and never read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from placekit.llm import rolling
 from placekit.llm.common import connected_components, materialize, read_table, text_key, whole_groups
 
 WORDS, SIMILARITY = 5, 0.8
-COORDINATES, RUNS, LEAF, DEPTH = 64, 8, 1000, 3
+COORDINATES, RUNS, LEAF, DEPTH = 64, 10, 1000, 3
 #: Agreeing coordinates from which a pair is looked at: 5 standard deviations below those of SIMILARITY.
 LIKELY = int(COORDINATES * (SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5))
 _RNG = np.random.default_rng(3)
@@ -113,9 +113,14 @@ def _allowed(task: dict[str, list]) -> np.ndarray:
     _, at, many = np.unique(less, return_inverse=True, return_counts=True)
     both = many[at] > 1
     cols, at = np.unique(at[both], return_inverse=True)
-    seen = np.zeros((n, max(len(cols), 1)), np.float32)
-    seen[who[both], at] = 1
-    ok = (seen @ seen.T) == 0
+    order = np.argsort(at, kind="stable")
+    who, at = who[both][order], at[order]
+    ok = np.ones((n, n), bool)
+    for lo in range(0, len(cols), 2048):  # lesser leaves some at a time: they may be many
+        a, b = np.searchsorted(at, [lo, lo + 2048])
+        seen = np.zeros((n, 2048), np.float32)
+        seen[who[a:b], at[a:b] - lo] = 1
+        ok &= (seen @ seen.T) == 0
     cross = np.asarray(task["cross"])
     if cross.any():
         own = np.asarray(task["own"])
@@ -232,7 +237,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that represent their class; rows without a word all stay."""
     _, by_key = jaccard_join(docs.select("doc_id", "text"), **how)
     reps = by_key.where("key = rep_key").select(F.col("rep_key").alias("__key"), F.col("rep_id").alias("__id"))
-    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)\S")
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)[^\s\x1c-\x1f]")  # what Python's split leaves no word of
     some = docs.where(~wordless).withColumn("__k", text_key())
     kept = some.join(reps, (F.col("__k") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))).dropDuplicates(["__k", "__id"])
     return kept.select(*docs.columns).unionByName(docs.where(wordless))
