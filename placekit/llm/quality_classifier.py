@@ -1,14 +1,14 @@
-"""Quality by compression: zstandard dictionaries from good and from bad labelled texts.
+"""Quality by compression: zstandard dictionaries of good and of bad labelled texts.
 
-A text is compressed with either dictionary; the difference of the sizes, over their sum, tells which
-texts it resembles, and their sum, over the length, how much it repeats itself. A logistic curve,
-fitted to labelled rows that neither dictionary saw, turns both into the probability of the label 1.
+A text is compressed with either dictionary. The difference of the sizes, over the text's length, tells which texts it
+resembles; a logistic curve, fitted to labelled rows that neither dictionary saw, turns it into the probability of the label 1.
+Nothing else enters a score.
 
-The fit uses a bounded sample: of each label the ``SAMPLE`` rows first in the order of a hash of id and text, and of
-these whole texts up to ``SAMPLE_BYTES``; longer ones are passed over. Scoring reads every whole
-text. Null and empty texts count as of no difference and of
-mean repetition. If one of the labels has no row, every score is
-the share of the other. Only the text enters a score.
+The fit uses a bounded sample: of each label the rows first in the order of a hash of id and text, ``SAMPLE`` of them at most
+and as many as have ``SAMPLE_BYTES`` together; texts of over ``TEXT_BYTES`` are passed over. Their sizes are looked at before a text is
+moved. Scoring reads every whole text. Null and empty texts count as of no difference. If one of the labels has no row, every score is
+the share of the other. Equal texts have equal scores, repeated rows each their own row; equal hashes in the sample are told apart by id.
+Empty tables give empty tables. Extra columns are carried; a column of the name of the score is an error.
 """
 
 from __future__ import annotations
@@ -23,16 +23,14 @@ from pyspark.sql import functions as F
 
 from placekit.llm.common import bucket_of, read_table, text_of
 
-SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 3000, 12_000_000, 100_000
-DICTIONARY, LEVEL = 112_640, 3
+SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 3000, 6_000_000, 100_000
+DICTIONARY, LEVEL = 1 << 20, 9
 THRESHOLD = 0.3
-#: A usual compressed share of a text's length.
-USUAL = 0.3
 
 
 @dataclass
 class Model:
-    """Two dictionaries and the curve: probability = 1 / (1 + exp(-features @ weights))."""
+    """Two dictionaries and the curve: probability = 1 / (1 + exp(-features @ weights)). The first weight stands for the labels' shares."""
 
     good: bytes
     bad: bytes
@@ -42,31 +40,20 @@ class Model:
 def _coder(dictionary: bytes):
     import zstandard as zstd
 
-    d = zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_AUTO)
+    d = zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(level=LEVEL)
     return zstd.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False)
 
 
-def _sizes(dictionary: bytes, texts: list[bytes]) -> np.ndarray:
-    c = _coder(dictionary)
-    return np.array([len(c.compress(t)) if t else 0 for t in texts], dtype=np.float64)
-
-
-def features(good: np.ndarray, bad: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Columns: 1; (bad - good) / (bad + good); the compressed share of the length and its square, each less what is usual."""
-    difference = (bad - good) / np.maximum(bad + good, 1)
-    share = np.where(length > 0, np.minimum((bad + good) / (2 * np.maximum(length, 1)), 1.5) - USUAL, 0.0)
-    return np.column_stack([np.ones(len(good)), 100 * difference, 10 * share, 100 * share**2])
+def features(good, bad, texts: list[bytes]) -> np.ndarray:
+    """Columns: 1; 100 * (bad size - good size) / length."""
+    saved = [100 * (len(bad.compress(t)) - len(good.compress(t))) / len(t) if t else 0.0 for t in texts]
+    return np.column_stack([np.ones(len(texts)), np.array(saved, np.float64)])
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary that zstandard selects from the texts; of few texts, the texts themselves."""
-    import zstandard as zstd
-
-    try:
-        return zstd.train_dictionary(DICTIONARY, texts, dict_id=1).as_bytes()
-    except zstd.ZstdError:
-        return b"\n".join(texts)[-DICTIONARY:] or b"\n"
+    """Whole texts one after the other, the first of them last, as far as a dictionary goes."""
+    return b"\n".join(reversed(texts))[-DICTIONARY:] or b"\n"
 
 
 def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
@@ -91,34 +78,30 @@ def sample_order() -> Column:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """(doc_id, text, quality) -> Model. Half of the sample makes the dictionaries, half the curve."""
-    sample: dict[int, list[bytes]] = {}
-    for label in (0, 1):
-        rows = labelled.where((F.col("quality") == label) & usable())
-        texts = [r["text"].encode() for r in rows.select("text", sample_order().alias("h")).orderBy("h", "text").limit(SAMPLE).toLocalIterator()]
-        ends = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0)
-        sample[label] = texts[: int((ends <= SAMPLE_BYTES).sum())]
+    """(doc_id, text, quality), bounded as ``training_rows`` gives them -> Model. Half of the sample makes the dictionaries, half the curve."""
+    rows = labelled.withColumn("__h", sample_order()).orderBy("__h", "doc_id", "text").select("text", "quality").collect()
+    sample = {x: [r["text"].encode() for r in rows if r["quality"] == x] for x in (0, 1)}
     if not sample[0] or not sample[1]:
-        return Model(b"\n", b"\n", (30.0 if sample[1] else -30.0 if sample[0] else 0.0, 0.0, 0.0, 0.0))
+        return Model(b"\n", b"\n", (30.0 if sample[1] else -30.0 if sample[0] else 0.0, 0.0))
     good, bad = (_dictionary(sample[x][::2]) for x in (1, 0))
     rest = {x: sample[x][1::2] or sample[x] for x in (0, 1)}
-    texts = rest[1] + rest[0]
-    x = features(_sizes(good, texts), _sizes(bad, texts), np.array([len(t) for t in texts]))
+    x = features(_coder(good), _coder(bad), rest[1] + rest[0])
     return Model(good, bad, _logistic(x, np.repeat([1.0, 0.0], [len(rest[1]), len(rest[0])])))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the probability that a text's label is 1."""
+    if out in docs.columns:
+        raise ValueError(f"column {out} is taken")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
-        coders = [_coder(m.good), _coder(m.bad)]
+        coders = _coder(m.good), _coder(m.bad)
         for b in batches:
             at = b.schema.get_field_index(text)
             texts = [x.as_py() or b"" for x in b.column(at).cast(pa.binary())]
-            good, bad = (np.array([len(c.compress(t)) if t else 0 for t in texts], np.float64) for c in coders)
-            x = features(good, bad, np.array([len(t) for t in texts]))
+            x = features(*coders, texts)
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights), -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, out])
 
@@ -132,14 +115,22 @@ def held_out(column: Column, folds: int = 5, fold: int = 0) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of the sample, outside the held-out fold: doc_id, text, quality.
 
-    They are found by their hashes; texts of others are never moved. Broadcast are ``SAMPLE`` ids of each label at most.
+    They are found by their hashes and sizes; texts of others are never moved. Broadcast are ``SAMPLE`` ids of each label at most.
     """
+    spark = docs.sparkSession
     seen = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), "quality")
     fit_rows = docs.where(usable()).select("doc_id", "text", sample_order().alias("__h"))
-    slim = fit_rows.select("doc_id", "__h").join(seen, F.col("doc_id") == F.col("__id")).select("__id", "__h", "quality")
-    first = [slim.where(F.col("quality") == x).orderBy("__h", "__id").limit(SAMPLE) for x in (0, 1)]
-    picked = first[0].unionByName(first[1]).distinct().withColumnRenamed("__h", "__first")
-    return fit_rows.join(F.broadcast(picked), (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__first"))).select("doc_id", "text", "quality")
+    slim = fit_rows.select("doc_id", "__h", F.octet_length("text").alias("__size")).join(seen, F.col("doc_id") == F.col("__id")).select("__id", "__h", "__size", "quality")
+    picked = []
+    for x in (0, 1):
+        rows, size = slim.where(F.col("quality") == x).orderBy("__h", "__id").limit(SAMPLE).collect(), 0
+        for r in rows:
+            size += r["__size"]
+            if size > SAMPLE_BYTES:
+                break
+            picked.append((r["__id"], r["__h"], x))
+    wanted = F.broadcast(spark.createDataFrame(sorted(set(picked)), "__id long, __first long, quality int"))
+    return fit_rows.join(wanted, (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__first"))).select("doc_id", "text", "quality")
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
