@@ -1,17 +1,16 @@
 """Exact removal of repeated strings of bytes, by suffix arrays from two-stage sorting.
 
 Every byte is removed that a string of ``LENGTH`` bytes covers which also starts anywhere else.
-Copies of a whole text meet by a digest, repeats inside a text by hashes of its windows. For repeats
+Copies of a whole text meet by a digest of 128 bits; repeats inside a text by hashes of its windows, whose bytes are then compared. For repeats
 across texts, each window names an anchor: the leftmost least hash of a 96-byte gram in it. Equal
 windows name equal anchors, so only the surroundings of anchors that occur twice can hold repeats.
 These contexts are gathered by anchor, and a suffix array over them puts equal windows side by side:
 only suffixes smaller than their successors are sorted directly, the others are induced from them
-bucket by bucket, and neighbours whose common prefix reaches the length are repeats. Matches are of
-bytes, never of hashes, except where said: anchors of more than ``LARGE`` contexts are resolved
-by sorting 128-bit hashes of their windows over all executors, so that no task holds them.
+bucket by bucket, and neighbours whose common prefix reaches the length are repeats. An anchor of more than ``LARGE`` contexts
+is a task of no executor: the windows of its contexts are sorted by 128 bits of a cryptographic hash over all executors instead.
 
 Matches never cross texts. Null texts are empty. Equal texts of the length or more are removed
-whole; ids play no part. Extra columns are never read.
+whole, repeated rows each get their row; ids play no part, and there are no ties. An empty table gives an empty table. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -40,23 +39,34 @@ def window_hashes(sums: np.ndarray, n: int, length: int) -> np.ndarray:
     return rolling.ranges(sums, at, at + length) if len(at) else np.zeros(0, np.uint64)
 
 
-def inner_repeats(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows of a text start twice in it, and which are the first of their kind."""
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the windows at ``a`` have the bytes of those at ``b``."""
+    view = sliding_window_view(data, LENGTH)
+    return all((view[a[lo : lo + 4096]] == view[b[lo : lo + 4096]]).all() for lo in range(0, len(a), 4096))
+
+
+def inner_repeats(data: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of a text start twice in it, and which are the first of their kind. Hashes find them, bytes decide."""
     ordered = np.sort(hashes)
     again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     twice, fresh = np.zeros(len(hashes), bool), np.ones(len(hashes), bool)
     if len(again):  # most texts repeat nothing, and one plain sort shows it
-        twice = again[np.minimum(np.searchsorted(again, hashes), len(again) - 1)] == hashes
-        at = np.flatnonzero(twice)
-        fresh[at] = False
-        fresh[at[np.unique(hashes[at], return_index=True)[1]]] = True
+        at = np.flatnonzero(again[np.minimum(np.searchsorted(again, hashes), len(again) - 1)] == hashes)
+        _, first, kind = np.unique(hashes[at], return_index=True, return_inverse=True)
+        first = at[first][kind]
+        if not _equal(data, at, first):  # strings of one hash that differ
+            known: dict[bytes, int] = {}
+            first = np.array([known.setdefault(data[i : i + LENGTH].tobytes(), i) for i in at.tolist()])
+        _, kind, many = np.unique(first, return_inverse=True, return_counts=True)
+        twice[at] = many[kind] > 1
+        fresh[at] = first == at
     return twice, fresh
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, position, first window, last window) of the anchors of the first windows of each kind."""
     sums = rolling.prefixes(data)
-    fresh = inner_repeats(window_hashes(sums, len(data), LENGTH))[1]
+    fresh = inner_repeats(data, window_hashes(sums, len(data), LENGTH))[1]
     grams = window_hashes(sums, len(data), GRAM)
     view = sliding_window_view(grams, SPAN)
     at = np.concatenate([view[lo : lo + 65536].argmin(1) + np.arange(lo, min(lo + 65536, len(view))) for lo in range(0, len(view), 65536)])
@@ -301,7 +311,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if copies > 1:
                     gone[[0, n]] = 1, -1
                 data = np.frombuffer(text, np.uint8)
-                twice = inner_repeats(window_hashes(rolling.prefixes(data), n, LENGTH))[0]
+                twice = inner_repeats(data, window_hashes(rolling.prefixes(data), n, LENGTH))[0]
                 for a, e in [*_runs(twice, 0), *((s["start"], s["end"]) for s in spans or ())]:
                     gone[a] += 1
                     gone[e] -= 1
