@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from placekit.operators.components import connected_components, materialize
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["bucket_of", "connected_components", "materialize", "read_table", "salted_rank", "text_key", "text_of", "whole_groups"]
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session that
-    names none (tests) gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint(eager=True)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_of(column: str = "text") -> Column:
@@ -83,37 +71,3 @@ def whole_groups(batches, column: str):
             held = part
     if held is not None:
         yield held
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(a, b) -> node, label: the least node that is joined to it, for every node of an edge.
-
-    Stars are contracted in turns (Kiveris et al., 2014): every node points its larger neighbours at
-    its least one, then its smaller ones. Aggregates and joins only, so a hub needs no task of its
-    own to hold its neighbours. The loop ends when a turn leaves all edges as they are.
-    """
-    big, small = F.greatest("a", "b"), F.least("a", "b")
-    now = materialize(edges.where("a != b").select(big.alias("a"), small.alias("b")).distinct())
-    state = _state(now)
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        turned = large.join(least, F.col("a") == F.col("u"))
-        up = turned.select(F.col("a"), F.col("m").alias("b"))
-        across = turned.select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(up.unionByName(across).where("a != b").distinct())
-        before, state = state, _state(now)
-        if before == state:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
-
-
-def _state(edges: DataFrame) -> tuple:
-    """Count and checksum of the edges."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
