@@ -33,6 +33,8 @@ from placekit.llm.common import connected_components, materialize, read_table, t
 
 WORDS, SIMILARITY = 5, 0.8
 COORDINATES, RUNS, LEAF, DEPTH = 64, 10, 1000, 3
+#: Sets of a node that doesn't split which one task compares with each other, or with as many more; rows of a matrix in hand.
+DENSE, TILE = 8192, 1024
 #: Agreeing coordinates from which a pair is looked at: 5 standard deviations below those of SIMILARITY.
 LIKELY = int(COORDINATES * (SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5))
 _RNG = np.random.default_rng(3)
@@ -96,16 +98,29 @@ def _leaves(texts: DataFrame, runs: int, leaf: int, depth: int) -> DataFrame:
     return out.select(F.col("node").alias("leaf"), "key", "size")
 
 
-def _tasks(members: DataFrame, leaf: int) -> DataFrame:
-    """One row of a member for each task of its leaf: a leaf of more than ``leaf`` sets is compared in pairs of blocks."""
-    blocks = F.ceil(F.col("size") / F.lit(leaf)).cast("int")
+def _tasks(members: DataFrame, dense: int) -> DataFrame:
+    """One row of a member for each task of its leaf: only a leaf of more than ``dense`` sets is compared in pairs of blocks."""
+    blocks = F.ceil(F.col("size") / F.lit(dense)).cast("int")
     own = F.pmod(F.xxhash64("leaf", "key"), blocks).cast("int")
     m = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return m.withColumn("task", F.xxhash64("leaf", F.least("own", "other"), F.greatest("own", "other"))).withColumn("cross", F.col("own") != F.col("other"))
 
 
-def _allowed(task: dict[str, list]) -> np.ndarray:
-    """Pairs (i, j) that this task counts: across its blocks, and of no lesser leaf in common."""
+def _sides(task: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
+    """The members that are compared with each other: all with all, or those of one block with those of the other."""
+    every = np.arange(len(task["key"]))
+    if not task["cross"][0]:
+        return every, every
+    own = np.asarray(task["own"])
+    return every[own == own.min()], every[own != own.min()]
+
+
+def _tiles(n: int):
+    return (slice(lo, min(lo + TILE, n)) for lo in range(0, n, TILE))
+
+
+def _allowed(task: dict[str, list], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs of ``a`` and ``b`` that this task counts: those of no lesser leaf in common."""
     leaf, n = task["leaf"][0], len(task["key"])
     who = np.repeat(np.arange(n), [len(x) for x in task["leaves"]])
     less = np.concatenate([np.asarray(x, np.int64) for x in task["leaves"]])
@@ -115,35 +130,42 @@ def _allowed(task: dict[str, list]) -> np.ndarray:
     cols, at = np.unique(at[both], return_inverse=True)
     order = np.argsort(at, kind="stable")
     who, at = who[both][order], at[order]
-    ok = np.ones((n, n), bool)
-    for lo in range(0, len(cols), 2048):  # lesser leaves some at a time: they may be many
-        a, b = np.searchsorted(at, [lo, lo + 2048])
-        seen = np.zeros((n, 2048), np.float32)
-        seen[who[a:b], at[a:b] - lo] = 1
-        ok &= (seen @ seen.T) == 0
-    cross = np.asarray(task["cross"])
-    if cross.any():
-        own = np.asarray(task["own"])
-        ok &= own[:, None] != own[None, :]
-    np.fill_diagonal(ok, False)
+    ok = np.ones((len(a), len(b)), bool)
+    for lo in range(0, len(cols), TILE):  # lesser leaves some at a time: they may be many
+        i, j = np.searchsorted(at, [lo, lo + TILE])
+        seen = np.zeros((n, TILE), np.float32)
+        seen[who[i:j], at[i:j] - lo] = 1
+        left, right = seen[a], seen[b].T
+        for t in _tiles(len(a)):
+            ok[t] &= (left[t] @ right) == 0
+    if a is b:
+        np.fill_diagonal(ok, False)
     return ok
 
 
 def _likely(task: dict[str, list]) -> np.ndarray:
     """Members with a likely partner that this task counts."""
-    sig = np.frombuffer(b"".join(task["sig"]), np.uint32).reshape(-1, COORDINATES)
-    ok, out = _allowed(task), np.zeros(len(sig), bool)
-    for i in range(len(sig) - 1):
-        same = (sig[i + 1 :] == sig[i]).sum(1) >= LIKELY
-        hit = same & ok[i, i + 1 :]
-        if hit.any():
-            out[i] = True
-            out[i + 1 :] |= hit
+    sig, out = np.frombuffer(b"".join(task["sig"]), np.uint32).reshape(-1, COORDINATES), np.zeros(len(task["sig"]), bool)
+    a, b = _sides(task)
+    if not len(b):
+        return out
+    ok, there = _allowed(task, a, b), sig[b]
+    for i in range(len(a)):
+        first = i + 1 if a is b else 0
+        some = ok[i, first:]
+        if some.sum() * 2 > len(some):
+            hit = np.flatnonzero(((there[first:] == sig[a[i]]).sum(1) >= LIKELY) & some) + first
+        else:
+            at = np.flatnonzero(some) + first
+            hit = at[(there[at] == sig[a[i]]).sum(1) >= LIKELY]
+        if len(hit):
+            out[a[i]] = True
+            out[b[hit]] = True
     return out
 
 
-def _links(task: dict[str, list]) -> np.ndarray:
-    """Matrix of the pairs of similarity 0.8 or more that this task counts, from the whole sets."""
+def _links(task: dict[str, list], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs of ``a`` and ``b`` of similarity 0.8 or more that this task counts, from the whole sets."""
     sets = [np.frombuffer(s, np.uint64) for s in task["set"]]
     n = np.array([len(s) for s in sets])
     who = np.repeat(np.arange(len(sets)), n)
@@ -153,15 +175,42 @@ def _links(task: dict[str, list]) -> np.ndarray:
     who, at = who[both], column[at[both]]
     order = np.argsort(at, kind="stable")
     who, at = who[order], at[order]
-    shared = np.zeros((len(sets), len(sets)), np.float32)
-    top = int(at[-1]) + 1 if len(at) else 0
-    for lo in range(0, top, 4096):
-        a, b = np.searchsorted(at, [lo, lo + 4096])
-        x = np.zeros((len(sets), 4096), np.float32)
-        x[who[a:b], at[a:b] - lo] = 1
-        shared += x @ x.T
-    # shared / union >= 4 / 5 in whole numbers
-    return (9 * shared.astype(np.int64) >= 4 * (n[:, None] + n[None, :])) & _allowed(task)
+    top, ok = int(at[-1]) + 1 if len(at) else 0, _allowed(task, a, b)
+    for t in _tiles(len(a)):
+        rows = np.flatnonzero(ok[t].any(1)) + t.start
+        shared = np.zeros((len(rows), len(b)), np.float32)
+        for lo in range(0, top if len(rows) else 0, TILE):
+            i, j = np.searchsorted(at, [lo, lo + TILE])
+            x = np.zeros((len(sets), TILE), np.float32)
+            x[who[i:j], at[i:j] - lo] = 1
+            shared += x[a[rows]] @ x[b].T
+        # shared / union >= 4 / 5 in whole numbers
+        ok[rows] &= 9 * shared.astype(np.int32) >= 4 * (n[a[rows]][:, None] + n[b][None, :])
+    return ok
+
+
+def _joined(task: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
+    """For each member: the documents it is linked to by this task, and the least member joined to it."""
+    a, b = _sides(task)
+    copies, n = np.asarray(task["copies"], np.int64), len(task["key"])
+    counts, label = np.zeros(n, np.int64), np.arange(n, dtype=np.int32)
+    if not len(b):
+        return counts, label
+    links = _links(task, a, b)
+    for t in _tiles(len(a)):
+        counts[a[t]] += (links[t] * copies[b][None, :]).sum(1)
+        if a is not b:
+            counts[b] += (links[t] * copies[a[t]][:, None]).sum(0)
+    while True:
+        new = label.copy()
+        for t in _tiles(len(a)):
+            new[a[t]] = np.minimum(new[a[t]], np.where(links[t], label[b][None, :], n).min(1))
+            if a is not b:
+                new[b] = np.minimum(new[b], np.where(links[t], label[a[t]][:, None], n).min(0))
+        new = new[new]
+        if (new == label).all():
+            return counts, label
+        label = new
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -176,7 +225,7 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key binary, set binary")
 
 
-def jaccard_join(docs: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+def jaccard_join(docs: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of all rows, and for each key: its class (rep_id and rep_key), copies and near (documents of other texts linked to it).
 
     docs: doc_id, text. The representative of a class is its least (doc_id, key).
@@ -188,7 +237,7 @@ def jaccard_join(docs: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int
     members = materialize(_leaves(texts.select("key", "sig"), runs, leaf, depth))
     lists = members.groupBy("key").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
     lists = texts.select(F.col("key").alias("__key"), "sig", "copies").join(lists.withColumnRenamed("key", "__k"), F.col("__key") == F.col("__k")).drop("__k")
-    tasks = _tasks(members, leaf).join(lists, F.col("key") == F.col("__key"))
+    tasks = _tasks(members, dense).join(lists, F.col("key") == F.col("__key"))
     tasks = tasks.select("task", "leaf", "key", "own", "cross", "leaves", "copies", "sig").repartition("task").sortWithinPartitions("task")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,15 +252,7 @@ def jaccard_join(docs: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for task in whole_groups(batches, "task"):
-            links = _links(task)
-            counts = links @ np.asarray(task["copies"])
-            label = np.arange(len(links))
-            while True:  # least label of all that are joined
-                new = np.minimum(label, np.where(links, label[None, :], len(links)).min(1, initial=len(links)))
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
+            counts, label = _joined(task)
             keep = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([task["key"][i] for i in keep], pa.binary()), pa.array([task["key"][label[i]] for i in keep], pa.binary()), pa.array(counts[keep], pa.int64())], names=["key", "root", "near"])
 

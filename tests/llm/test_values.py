@@ -126,8 +126,10 @@ def test_top_k_ties_and_large_values(spark):
     assert got == [(0, 1, 2, score), (0, 2, 3, score), (0, 3, 5, score), (0, 4, 11, 0)]
 
 
-def test_recall_of_a_dense_group(spark):
-    """More near copies than a leaf holds, with the values of production: every link of similarity 0.8 or more."""
+@pytest.mark.parametrize("dense", [ngram_jaccard_join.DENSE, 300])
+def test_recall_of_a_dense_group(spark, monkeypatch, dense):
+    """More near copies than a leaf holds, with the values of production and in blocks: every link of similarity 0.8 or more."""
+    monkeypatch.setattr(ngram_jaccard_join, "TILE", 256)
     rng = np.random.default_rng(7)
     base, rows = [f"w{i}" for i in range(160)], []
     for i in range(1300):
@@ -143,7 +145,7 @@ def test_recall_of_a_dense_group(spark):
     shared, n = (seen @ seen.T).astype(np.int64), np.array([len(s) for s in sets])
     links = 9 * shared >= 4 * (n[:, None] + n[None, :])
     np.fill_diagonal(links, False)
-    got = {r.doc_id: (r.n_links, r.class_id) for r in ngram_jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: (r.n_links, r.class_id) for r in ngram_jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), dense=dense).collect()}
     found = sum(a for a, _ in got.values())
     assert found <= links.sum() and found >= 0.9999 * links.sum() and all(got[i][0] <= links[i].sum() for i in got)
 
