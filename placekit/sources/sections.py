@@ -83,7 +83,6 @@ def _first_of_spot(df: DataFrame) -> DataFrame:
 
 
 _PUBLIC = "(access IS NULL OR access NOT IN ('private','no'))"
-_POINT = {"lat": at("y"), "lng": at("x")} if False else None
 
 
 def _spot() -> dict[str, Column]:
