@@ -164,7 +164,7 @@ def test_later_stages_win_and_large_archives_have_leaves(spark, tmp_path, monkey
     a = spark.range(3).selectExpr("id AS tile_id", "0 AS z", "id AS x", "id AS y", "encode('old', 'utf-8') AS data", "1 AS run")
     b = a.where("tile_id = 1").selectExpr("tile_id", "z", "x", "y", "encode('new', 'utf-8') AS data", "2 AS run")
     assert {r.tile_id: bytes(r.data) for r in tiles.latest(a.unionByName(b), "run").collect()} == {0: b"old", 1: b"new", 2: b"old"}
-    many = spark.range(30_000).selectExpr("id * 7 AS tile_id", "encode(concat('t', id * id), 'utf-8') AS data")
+    many = spark.range(30_000).selectExpr("id * 7 AS tile_id", "encode(repeat(concat('t', id * id), cast(1 + abs(hash(id)) % 9 as int)), 'utf-8') AS data")
     path = str(tmp_path / "b.tiles")
     assert tiles.pack(many, path, (0, 0, 1, 1), [], (0, 9)) == 30_000
     archive = tiles.open_archive(path)
@@ -175,7 +175,7 @@ def test_later_stages_win_and_large_archives_have_leaves(spark, tmp_path, monkey
         assert entries[k][1] == 0
         leaf = tiles.read_directory(archive._read(archive._at[4] + entries[k][3], entries[k][2]))
         k = int(np.searchsorted([e[0] for e in leaf], t, side="right")) - 1
-        assert leaf[k][0] == t and archive._read(archive._at[6] + leaf[k][3], leaf[k][2]) == f"t{i * i}".encode()
+        assert leaf[k][0] == t and archive._read(archive._at[6] + leaf[k][3], leaf[k][2]) .startswith(f"t{i * i}".encode())
 
 
 def test_columns_of_shapes(spark):
