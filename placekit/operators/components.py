@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of ``spark.checkpoint.dir``; a session that names none gets its own."""
+    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+
+    A local session that names none gets a folder of its own; on a cluster that is an error, as executors share no temporary folder.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint(eager=True)
 
@@ -19,7 +24,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) -> node, label: the least node joined to it, for every node of an edge.
 
     Every node points its larger neighbours at its least one, then its smaller ones (Kiveris et al., 2014), until a
-    round leaves all edges as they are. A hub's neighbours are never in one task.
+    round leaves all edges as they are. Minima meet map-side; a hub's edges meet its minimum in a join, which adaptive execution
+    parts where they are many.
     """
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None

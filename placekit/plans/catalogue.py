@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placekit.plans import entities, gates, joins, layered, research, sections, serving, shapes, values  # noqa: F401  they register themselves
+from placekit.plans import entities, gates, grids, joins, layered, research, sections, serving, shapes, values, viewer  # noqa: F401  they register themselves
 from placekit.plans.registry import QUERIES, SQL
 
 

@@ -17,7 +17,7 @@ SQL = catalogue.oracle_sql()
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in {*TABLES.values(), "events"}:
+    for t in {*TABLES.values(), "events", "documents"}:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
