@@ -1,13 +1,11 @@
-"""Entity resolution: candidates by cells, and greedy suppression of near places of one name.
-
-The ordered fold over candidates (E04-E08 of the survey) is not built.
-"""
+"""Candidates for one place by cells, and greedy suppression of near places of one name. The fold over candidates is in ``merge``."""
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placekit.functions import geo, names
+from placekit.operators.components import connected_components, materialize
 
 # Kinds that are never one place.
 APART = {("cemetery", t) for t in ("state", "national", "town", "preserve")}
@@ -16,7 +14,7 @@ APART = {("cemetery", t) for t in ("state", "national", "town", "preserve")}
 def candidate_pairs(places: DataFrame) -> DataFrame:
     """k1 < k2 of one kind of name within the distance that their areas allow. places: key, lat, lng, name, type, acres.
 
-    Pairs meet in 0.02 degree cells of the one, repeated over the neighbours of the other.
+    Pairs meet in 0.03 degree cells of the one, repeated over the neighbours of the other.
     """
     size = 0.03  # more than the largest allowance, 400 + 1800 m, north and south; two cells east and west
     p = places.select("key", "lat", "lng", "type", F.coalesce("acres", F.lit(0)).cast("double").alias("acres"), names.tokens(F.col("name")).alias("t"))
@@ -36,11 +34,24 @@ def candidate_pairs(places: DataFrame) -> DataFrame:
     return pairs.select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), F.floor("dist").alias("dist_m")).dropDuplicates(["k1", "k2"])
 
 
+def near_of_name(places: DataFrame, radius: float) -> DataFrame:
+    """(a, b) of keys, a < b, of one normal name within ``radius`` metres as seen from either. Name and cell are the key of the join."""
+    size = 0.01
+    at = places.select("key", "nm", "lat", "lng", geo.cell(F.col("lat"), size).cast("int").alias("ci"), geo.cell(F.col("lng"), size).cast("int").alias("cj"))
+    up = int(-(-radius // (geo.FLAT * size)))
+    side = F.ceil(F.lit(radius) / (F.cos(F.radians(F.abs("lat") + radius / geo.FLAT)) * geo.FLAT * size)).cast("int")
+    wide = at.withColumn("i", F.explode(F.sequence(F.col("ci") - up, F.col("ci") + up))).withColumn("j", F.explode(F.sequence(F.col("cj") - side, F.col("cj") + side)))
+    there = at.select(*[F.col(c).alias(f"r_{c}") for c in at.columns])
+    met = wide.join(there, (F.col("nm") == F.col("r_nm")) & (F.col("i") == F.col("r_ci")) & (F.col("j") == F.col("r_cj")) & (F.col("key") != F.col("r_key")))
+    near = met.where(geo.dist_first(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")) < radius)
+    return near.select(F.least("key", "r_key").alias("a"), F.greatest("key", "r_key").alias("b")).distinct()
+
+
 def suppress_near(places: DataFrame, radius: float = 800.0) -> DataFrame:
     """Greedy suppression for each normal name: the richest stays, others within ``radius`` go.
 
-    places: key, name, lat, lng, rich. A name's places are folded in one task: names are narrow
-    groups of points, and the cell of a name bounds what is compared.
+    places: key, name, lat, lng, rich. What is near nobody of its name stays; the rest is folded for each connected component of near pairs,
+    outside of which nothing can suppress it.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -55,4 +66,7 @@ def suppress_near(places: DataFrame, radius: float = 800.0) -> DataFrame:
                 kept.append(i)
         return pdf.iloc[kept][["key"]]
 
-    return places.withColumn("nm", names.norm(F.col("name"))).groupBy("nm").applyInPandas(fold, "key long")
+    named = places.withColumn("nm", names.norm(F.col("name")))
+    labels = materialize(connected_components(near_of_name(named, radius)))
+    alone = named.join(labels, F.col("key") == F.col("node"), "left_anti").select("key")
+    return alone.unionByName(named.join(labels, F.col("key") == F.col("node")).groupBy("label").applyInPandas(fold, "key long"))

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placekit.sources.remote import Kept
+
 FEATURES = "features array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
 
 
@@ -19,21 +21,9 @@ def clean_properties(c: Column, most: int = 120) -> Column:
 
 
 def read_or_last(spark: SparkSession, read, snapshot: str) -> DataFrame:
-    """``read()`` written as the new snapshot; if it fails or is empty, the last snapshot, marked stale."""
-    try:
-        fresh = read()
-        if not fresh.limit(1).count():
-            raise ValueError("no rows")
-        fresh.write.mode("overwrite").parquet(f"{snapshot}/staged")
-        spark.read.parquet(f"{snapshot}/staged").write.mode("overwrite").parquet(f"{snapshot}/good")
-        stale = False
-    except Exception as e:
-        try:
-            spark.read.parquet(f"{snapshot}/good").schema
-        except Exception:
-            raise e from None
-        stale = True
-    return spark.read.parquet(f"{snapshot}/good").withColumn("stale", F.lit(stale))
+    """``read()`` written as a new version; if it fails or is empty, the last whole version, marked stale. No version is ever overwritten."""
+    rows, stale = Kept(spark, snapshot, 0).get_or_last("good", read)
+    return rows.withColumn("stale", F.lit(stale))
 
 
 def write_places(places: DataFrame, path: str) -> None:

@@ -12,7 +12,8 @@ import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -69,19 +70,22 @@ class TiledReader(DataSourceReader):
     def read(self, partition: Tile) -> Iterator[tuple]:
         yield from self._tile(partition.box, 2)
 
-    def _tile(self, box: Box, again: int) -> list[tuple]:
-        page, wait = int(self.options.get("page", "1000")), float(self.options.get("wait", "1.5"))
-        rows: list[tuple] = []
-        try:
-            while True:
-                got = attempt(lambda: self.service.page(box, len(rows), page), wait=wait)
-                rows += [tuple(r.get(f.name) for f in self.schema.fields) for r in got]
-                if len(got) < page:
-                    return rows
-        except Exception:
-            if not again:
-                raise
-            return [r for part in split(box) for r in self._tile(part, again - 1)]
+    def _tile(self, box: Box, again: int) -> Iterator[tuple]:
+        """Rows page by page. A page that is lost for good has its tile split and read again; ``read_service`` drops what came twice."""
+        page, wait, at = int(self.options.get("page", "1000")), float(self.options.get("wait", "1.5")), 0
+        while True:
+            try:
+                got = attempt(lambda: self.service.page(box, at, page), wait=wait)  # noqa: B023
+            except Exception:
+                if not again:
+                    raise
+                for part in split(box):
+                    yield from self._tile(part, again - 1)
+                return
+            yield from (tuple(r.get(f.name) for f in self.schema.fields) for r in got)
+            at += len(got)
+            if len(got) < page:
+                return
 
 
 class TiledService(DataSource):
@@ -95,7 +99,18 @@ class TiledService(DataSource):
         return TiledReader(schema, self.options)
 
 
-def read_service(spark: SparkSession, schema: str, key: str, **options) -> DataFrame:
-    """Whole scan of a service: each feature once."""
+def identity(attributes: Column, x: Column, y: Column) -> Column:
+    """What tells a feature: its number if it has one, else its place to six digits and all its attributes."""
+    number = F.coalesce(*[attributes[k] for k in ("OBJECTID", "objectid", "OID", "FID")])
+    bag = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(attributes))))
+    spot = F.concat_ws(",", F.coalesce(F.round(x, 6).cast("string"), F.lit("-")), F.coalesce(F.round(y, 6).cast("string"), F.lit("-")))
+    return F.coalesce(F.concat(F.lit("id "), number), F.concat(F.lit("at "), spot, F.lit(" "), F.coalesce(bag, F.lit(""))))
+
+
+def read_service(spark: SparkSession, schema: str, key: str | None = None, **options) -> DataFrame:
+    """Whole scan of a service: each feature once, by its key; without one by ``identity`` of its attributes, x and y."""
     spark.dataSource.register(TiledService)
-    return spark.read.format("tiled").schema(schema).options(**options).load().dropDuplicates([key])
+    rows = spark.read.format("tiled").schema(schema).options(**options).load()
+    if key:
+        return rows.dropDuplicates([key])
+    return rows.withColumn("__id", identity(F.col("attributes"), F.col("x"), F.col("y"))).dropDuplicates(["__id"]).drop("__id")
