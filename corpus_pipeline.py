@@ -1,7 +1,12 @@
 """Corpus pipeline: rejects poor documents, joins near duplicates, removes secrets, mixes, packs.
 
 Every stage takes the documents that the one before kept, and returns documents; the last returns
-the packed pieces. SQL can express none of the model-based stages, so ORACLE_SQL is None.
+the packed pieces. SQL can express none of the model-based stages, so ORACLE_SQL is None; each stage is
+tested against a plain version.
+
+Null ids, sources and other columns are values like any other. Null and empty texts have a score of no difference, are near duplicates of nothing,
+hold no secret, have size 0 and so no copy in the mixture. Repeated rows are one class of copies, of which one stays; ties go to the lesser id. Long texts
+are handled whole. An empty table gives an empty result. Columns other than those of documents are dropped, whatever their names.
 """
 
 from __future__ import annotations

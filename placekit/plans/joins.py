@@ -97,7 +97,7 @@ _SPAN = f"least(16, CAST(ceil(({_R} + 150) / 111000 / 0.0015::DOUBLE) AS BIGINT)
 
 @query("trail_cell_semi", prelude("P", "O") + f", {_OC} SELECT p.key, EXISTS (SELECT 1 FROM OC WHERE abs(OC.ci - CAST(floor(p.lat / 0.0015::DOUBLE) AS BIGINT)) <= {_SPAN} AND abs(OC.cj - CAST(floor(p.lng / 0.0015::DOUBLE) AS BIGINT)) <= {_SPAN}) AS has_trail FROM P p")
 def trail_cell_semi(spark, sf):
-    """A square window of cells; cells are packed into blocks of 17, so a window meets four blocks at most, not 1,089 cells."""
+    """A square window of cells; cells are packed into blocks of 33, so a window meets four blocks at most, not 1,089 cells."""
     span = F.least(F.lit(16), F.ceil((geo.radius_m(F.col("acres")) + 150) / 111000 / F.lit(0.0015)))
     p = _p(spark, sf).select("key", geo.cell(F.col("lat"), 0.0015).alias("i"), geo.cell(F.col("lng"), 0.0015).alias("j"), span.alias("span"))
     block = lambda c: F.floor(c / 33).cast("int")

@@ -78,3 +78,22 @@ def test_clusters_against_union_find(spark):
 
 def test_all_roles_are_read(spark):
     assert all(view(spark, SF, r).count() for r in VIEWS)
+
+
+def test_shapes_in_turn_against_a_plain_fold(spark):
+    from pyspark.sql import functions as F
+
+    c = view(spark, SF, "C").select("key", "lat", "lng", "rad", names.norm(F.col("name")).alias("nm")).collect()
+    r = view(spark, SF, "R").select("lat", "lng", names.norm(F.col("name")).alias("nm")).collect()
+    drawn, added = [(x.lat, x.lng, x.nm) for x in r], set()
+    for x in sorted(c):
+        far = [(math.hypot((la - x.lat) * 111000, (ln - x.lng) * 111000 * math.cos(math.radians(x.lat))), nm) for la, ln, nm in drawn]
+        if not any((nm and nm == x.nm and d < 1600) or d < min(400, max(90, x.rad * 0.28)) for d, nm in far):
+            drawn.append((x.lat, x.lng, x.nm))
+            added.add(x.key)
+    assert {y.key for y in catalogue.queries()["shapes_in_turn"](spark, SF).collect()} == added and len(added) < len(c)
+
+
+def test_concave_queries_have_rows(spark):
+    for name in ("concave_layers", "concave_places", "concave_clips", "tile_stage", "entity_survivors", "gap_ranking", "random_place"):
+        assert catalogue.queries()[name](spark, "/root/testdata/sf0.01" if name == "gap_ranking" else SF).count() > 0, name
