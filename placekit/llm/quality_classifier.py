@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from placekit.llm.common import bucket_of, read_table, text_of
 
 SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 3000, 6_000_000, 100_000
-DICTIONARY, LEVEL = 1 << 20, 9
+DICTIONARY, LEVEL = 1 << 21, 9
+#: Of so many rows of the sample one fits the curve, the others make the dictionaries.
+CURVE = 4
 THRESHOLD = 0.3
 
 
@@ -78,13 +80,13 @@ def sample_order() -> Column:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """(doc_id, text, quality), bounded as ``training_rows`` gives them -> Model. Half of the sample makes the dictionaries, half the curve."""
+    """(doc_id, text, quality), bounded as ``training_rows`` gives them -> Model. One row of ``CURVE`` fits the curve, the others make the dictionaries."""
     rows = labelled.withColumn("__h", sample_order()).orderBy("__h", "doc_id", "text").select("text", "quality").collect()
     sample = {x: [r["text"].encode() for r in rows if r["quality"] == x] for x in (0, 1)}
     if not sample[0] or not sample[1]:
         return Model(b"\n", b"\n", (30.0 if sample[1] else -30.0 if sample[0] else 0.0, 0.0))
-    good, bad = (_dictionary(sample[x][::2]) for x in (1, 0))
-    rest = {x: sample[x][1::2] or sample[x] for x in (0, 1)}
+    good, bad = (_dictionary([t for i, t in enumerate(sample[x]) if i % CURVE] or sample[x]) for x in (1, 0))
+    rest = {x: sample[x][::CURVE] for x in (0, 1)}
     x = features(_coder(good), _coder(bad), rest[1] + rest[0])
     return Model(good, bad, _logistic(x, np.repeat([1.0, 0.0], [len(rest[1]), len(rest[0])])))
 
