@@ -34,7 +34,7 @@ from placekit.llm.common import connected_components, materialize, read_table, t
 WORDS, SIMILARITY = 5, 0.8
 COORDINATES, RUNS, LEAF, DEPTH = 64, 10, 1000, 3
 #: Sets of a node that doesn't split which one task compares with each other, or with as many more; rows of a matrix in hand.
-DENSE, TILE = 8192, 1024
+DENSE, TILE = 8192, 256
 #: Agreeing coordinates from which a pair is looked at: 5 standard deviations below those of SIMILARITY.
 LIKELY = int(COORDINATES * (SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5))
 _RNG = np.random.default_rng(3)
