@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placekit.plans import entities, gates, grids, joins, layered, research, rules, sections, serving, shaped, shapes, values, viewer  # noqa: F401  they register themselves
+from placekit.plans import entities, gates, grids, joins, layered, research, rules, scans, sections, serving, shaped, shapes, values, viewer  # noqa: F401  they register themselves
 from placekit.plans.registry import QUERIES, SQL
 
 
