@@ -15,11 +15,13 @@ whole, repeated rows each get their row; ids play no part, and there are no ties
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from placekit.llm.common import materialize, read_table, text_key, text_of, whol
 LENGTH, GRAM = 200, 96
 #: Contexts of an anchor that one task compares; bytes of a suffix array.
 LARGE, BUFFER = 5000, 1 << 21
+#: Keys that a task remembers so as to read a copy once.
+SEEN = 100_000
 #: Grams of a window.
 SPAN = LENGTH - GRAM + 1
 
@@ -168,15 +172,22 @@ def _runs(hit: np.ndarray, first: int) -> list[tuple[int, int]]:
     return [(first + int(a), first + int(b) - 1 + LENGTH) for a, b in edge.reshape(-1, 2)]
 
 
+def _fresh(t: pa.Table) -> pa.Table:
+    """Without the rows that are the same as the row before."""
+    n = t.num_rows - 1
+    same = functools.reduce(pc.and_, [pc.equal(c.slice(1), c.slice(0, n)) for c in t.columns])
+    return t.filter(pa.array(np.concatenate([[True], ~same.to_numpy()])))
+
+
 def _adjacent(columns: list[str]):
-    """Rows that agree with a neighbour in ``columns``, from sorted batches; one row is held between batches."""
+    """Rows that agree with a neighbour in ``columns``, from sorted batches; one row is held between batches. Equal rows count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b] if held is None else [held[0], b]).combine_chunks()
+            t = _fresh(pa.Table.from_batches([b] if held is None else [held[0], b]).combine_chunks()).combine_chunks()
             keys = [t.column(c).to_numpy() for c in columns]
             same = np.logical_and.reduce([k[1:] == k[:-1] for k in keys])
             keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
@@ -191,15 +202,25 @@ def _adjacent(columns: list[str]):
 
 
 def _anchors(texts: DataFrame) -> DataFrame:
-    """key, anchor, place (position << 16, less of it the first window << 8, less of it the last)."""
+    """key, anchor, place (position << 16, less of it the first window << 8, less of it the last).
+
+    A text is read where it lies. Copies in different tasks, or far from each other in one, give the same rows again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
             for row, x in enumerate(b.column(1).cast(pa.binary())):
+                key = b.column(0)[row].as_py()
+                if key in seen:
+                    continue
+                if len(seen) == SEEN:
+                    seen.clear()
+                seen.add(key)
                 data = np.frombuffer(x.as_py() or b"", np.uint8)
                 if len(data) >= LENGTH:
                     h, at, lo, hi = anchors(data)
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[row].as_py()] * len(at), pa.binary()), pa.array(h.view(np.int64)), pa.array((at << 16) + ((at - lo) << 8) + (at - hi))], names=["key", "anchor", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.binary()), pa.array(h.view(np.int64)), pa.array((at << 16) + ((at - lo) << 8) + (at - hi))], names=["key", "anchor", "place"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, rows = [], 0
@@ -326,9 +347,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(text, ...) -> key (of the text), n_bytes, n_removed, n_spans, kept (the bytes that stay), one row for each text."""
-    texts = docs.select(text_key().alias("key"), text_of().alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    named = _anchors(texts)
-    twice = named.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_adjacent(["anchor"]), "key binary, anchor long, place long")
+    rows = docs.select(text_key().alias("key"), text_of().alias("text"))
+    texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    named = _anchors(rows)
+    twice = named.repartition("anchor").sortWithinPartitions("anchor", "key", "place").mapInArrow(_adjacent(["anchor"]), "key binary, anchor long, place long")
     twice = materialize(twice)
     large = twice.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select(F.col("anchor").alias("__a"))
     marked = twice.join(large, F.col("anchor") == F.col("__a"), "left").select(F.col("key").alias("__key"), "anchor", "place", F.col("__a").isNotNull().alias("large"))

@@ -1,5 +1,7 @@
 """Values against plain versions: shards, mixture, scores, media, blocks of vectors, a dense group, hard rows."""
 
+import collections
+import hashlib
 import io
 import math
 import zlib
@@ -180,8 +182,6 @@ def test_repeats_of_hard_rows(spark):
     once = "".join(chr(97 + (i * i * 7 + i // 26) % 26) for i in range(500))
     rows = [None, "", "ab" * 99, "ab" * 101, once, once, "\u00e9" * 150, "q" + once[:200]]
     got = {bytes(r.key): (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_array_dedup.remove_repeats(spark.createDataFrame([(t,) for t in rows], "text string")).collect()}
-    import hashlib
-
     of = lambda t: got[hashlib.md5(t.encode()).digest()]
     assert of("") == (0, 0, 0, b"") and of("ab" * 99)[1] == 0 and of("ab" * 101)[1:3] == (202, 1) and of("\u00e9" * 150) == (300, 300, 1, b"")
     assert of(once) == (500, 500, 1, b"") and of("q" + once[:200]) == (201, 200, 1, b"q")
@@ -199,3 +199,31 @@ def test_strings_of_one_hash_are_told_apart():
         w = data[i : i + 200].tobytes()
         assert twice[i] == (count[w] > 1) and fresh[i] == (w not in seen)
         seen.add(w)
+
+
+@pytest.mark.parametrize("remembered", [1, 100_000])
+def test_repeats_among_copies_in_many_partitions(spark, monkeypatch, remembered):
+    """Copies are read in several tasks, and again in one: the rows are those of counting every window of every row."""
+    monkeypatch.setattr(suffix_array_dedup, "SEEN", remembered)
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, alone = word(260), word(900)
+    rows = [alone, word(400) + passage, passage + word(50), word(500) + alone[:199], word(120), None, "", *[word(300) + passage + word(300)] * 9, *[word(700)] * 9]
+    texts = [(x or "").encode() for x in rows]
+    many = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    got = {bytes(r.key): bytes(r.kept) for r in suffix_array_dedup.remove_repeats(spark.createDataFrame([(t,) for t in rows], "text string").repartition(7)).collect()}
+    assert len(got) == len(set(texts))
+    for t in texts:
+        gone = {j for i in range(len(t) - 199) if many[t[i : i + 200]] > 1 for j in range(i, i + 200)}
+        assert got[hashlib.md5(t).digest()] == bytes(c for j, c in enumerate(t) if j not in gone)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_equal_rows_count_once_between_batches(size):
+    """Rows that agree in the anchor stay, whatever the batches, and equal rows are one."""
+    import pyarrow as pa
+
+    rows = [(b"a", 1, 5), (b"a", 1, 5), (b"a", 2, 5), (b"a", 2, 6), (b"a", 2, 6), (b"b", 2, 6), (b"b", 3, 1), (b"b", 3, 1), (b"b", 3, 1), (b"c", 4, 0), (b"d", 4, 0)]
+    table = pa.table({"key": [r[0] for r in rows], "anchor": [r[1] for r in rows], "place": [r[2] for r in rows]})
+    out = pa.Table.from_batches(list(suffix_array_dedup._adjacent(["anchor"])(iter(table.to_batches(max_chunksize=size)))))
+    assert [tuple(r.values()) for r in out.to_pylist()] == [(b"a", 2, 5), (b"a", 2, 6), (b"b", 2, 6), (b"c", 4, 0), (b"d", 4, 0)]
