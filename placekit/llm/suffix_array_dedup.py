@@ -201,6 +201,30 @@ def _adjacent(columns: list[str]):
     return run
 
 
+def _flagged(limit: int):
+    """Adds ``large``, whether more than ``limit`` rows have the anchor, to sorted batches; so many rows and one batch are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, big = None, None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            a = t.column("anchor").to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            many = np.diff(np.append(first, len(a)))
+            large = (many > limit) | (False if big is None else a[first] == big)
+            if large[-1]:  # its rows to come are known for such
+                big, ready = a[-1], len(a)
+            else:
+                ready = int(first[-1])
+            yield from t.append_column("large", pa.array(np.repeat(large, many))).slice(0, ready).combine_chunks().to_batches()
+            held = t.slice(ready).combine_chunks() if ready < len(a) else None
+        if held is not None:
+            yield from held.append_column("large", pa.array(np.zeros(held.num_rows, bool))).to_batches()
+
+    return run
+
+
 def _anchors(texts: DataFrame) -> DataFrame:
     """key, anchor, place (position << 16, less of it the first window << 8, less of it the last).
 
@@ -237,26 +261,26 @@ def _anchors(texts: DataFrame) -> DataFrame:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, copies, places) -> anchor, large, key, place, context."""
+    """(key, text, copies, places) -> anchor, key, place, context."""
     for b in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], []]
         size = 0
         for key, text, places in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
             for p in places:
                 at, lo, hi = p["place"] >> 16, p["place"] >> 8 & 255, p["place"] & 255
-                for column, v in zip(out, (p["anchor"], p["large"], key, p["place"], text[at - lo : at - hi + LENGTH]), strict=True):
+                for column, v in zip(out, (p["anchor"], key, p["place"], text[at - lo : at - hi + LENGTH]), strict=True):
                     column.append(v)
-            size = sum(map(len, out[4][-len(places) :])) + size
+            size = sum(map(len, out[3][-len(places) :])) + size
             if size > 1 << 23:
                 yield _batch(out)
-                out, size = [[], [], [], [], []], 0
+                out, size = [[], [], [], []], 0
         if out[0]:
             yield _batch(out)
 
 
 def _batch(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["anchor", "large", "key", "place", "context"])
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["anchor", "key", "place", "context"])
 
 
 def _resolve(groups: list[dict[str, list]]) -> Iterator[tuple[bytes, int, int]]:
@@ -347,18 +371,21 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(text, ...) -> key (of the text), n_bytes, n_removed, n_spans, kept (the bytes that stay), one row for each text."""
-    rows = docs.select(text_key().alias("key"), text_of().alias("text"))
+    # no key is null; said here, it is the same filter below all three joins, and their shuffle is one
+    rows = docs.select(text_key().alias("key"), text_of().alias("text")).where("key is not null")
     texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     named = _anchors(rows)
-    twice = named.repartition("anchor").sortWithinPartitions("anchor", "key", "place").mapInArrow(_adjacent(["anchor"]), "key binary, anchor long, place long")
+    pair, flag = _adjacent(["anchor"]), _flagged(LARGE)
+    twice = named.repartition("anchor").sortWithinPartitions("anchor", "key", "place").mapInArrow(lambda batches: flag(pair(batches)), "key binary, anchor long, place long, large boolean")
     twice = materialize(twice)
-    large = twice.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select(F.col("anchor").alias("__a"))
-    marked = twice.join(large, F.col("anchor") == F.col("__a"), "left").select(F.col("key").alias("__key"), "anchor", "place", F.col("__a").isNotNull().alias("large"))
-    places = marked.groupBy("__key").agg(F.collect_list(F.struct("anchor", "place", "large")).alias("places"))
-    contexts = texts.join(places, F.col("key") == F.col("__key")).select("key", "text", "copies", "places").mapInArrow(_contexts, "anchor long, large boolean, key binary, place long, context binary")
-    contexts = materialize(contexts)
-    small = contexts.where("not large").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_by_suffix_array, "key binary, start long, end long")
-    windows = contexts.where("large").select("key", "place", "context").mapInArrow(_windows, "w1 long, w2 long, key binary, start long")
+
+    def contexts(of: DataFrame) -> DataFrame:
+        # all joins with the texts take the same columns, and no checkpoint lies between
+        places = of.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("anchor", "place")).alias("places"))
+        return texts.join(places, F.col("key") == F.col("__key")).select("key", "text", "copies", "places").mapInArrow(_contexts, "anchor long, key binary, place long, context binary")
+
+    small = contexts(twice.where("not large")).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_by_suffix_array, "key binary, start long, end long")
+    windows = contexts(twice.where("large")).select("key", "place", "context").mapInArrow(_windows, "w1 long, w2 long, key binary, start long")
     windows = windows.repartition("w1").sortWithinPartitions("w1", "w2").mapInArrow(_adjacent(["w1", "w2"]), "w1 long, w2 long, key binary, start long")
     spans = small.unionByName(windows.select("key", "start", (F.col("start") + LENGTH).alias("end")))
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("key", "__key")

@@ -227,3 +227,15 @@ def test_equal_rows_count_once_between_batches(size):
     table = pa.table({"key": [r[0] for r in rows], "anchor": [r[1] for r in rows], "place": [r[2] for r in rows]})
     out = pa.Table.from_batches(list(suffix_array_dedup._adjacent(["anchor"])(iter(table.to_batches(max_chunksize=size)))))
     assert [tuple(r.values()) for r in out.to_pylist()] == [(b"a", 2, 5), (b"a", 2, 6), (b"b", 2, 6), (b"c", 4, 0), (b"d", 4, 0)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 100])
+def test_anchors_of_many_rows_are_flagged(size):
+    """More rows than the limit, in whatever batches, flag every row of the anchor; order and rows stay."""
+    import pyarrow as pa
+
+    anchors = [1] * 3 + [2] * 4 + [3] * 2 + [4] * 9 + [5] * 3 + [6] * 4
+    table = pa.table({"anchor": anchors, "place": list(range(len(anchors)))})
+    out = pa.Table.from_batches(list(suffix_array_dedup._flagged(3)(iter(table.to_batches(max_chunksize=size)))))
+    assert out.column("place").to_pylist() == list(range(len(anchors)))
+    assert out.column("large").to_pylist() == [anchors.count(a) > 3 for a in anchors]
