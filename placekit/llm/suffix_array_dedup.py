@@ -67,13 +67,23 @@ def inner_repeats(data: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.
     return twice, fresh
 
 
+def leftmost_least(values: np.ndarray, span: int) -> np.ndarray:
+    """Where the least of each ``span`` values stands, the leftmost of equals: two overlapping halves a step, whose width doubles."""
+    at, width = np.arange(len(values)), 1
+    while width < span:
+        step = min(width, span - width)
+        at = np.where(values[:-step] <= values[step:], at[:-step], at[step:])
+        values = np.minimum(values[:-step], values[step:])
+        width += step
+    return at
+
+
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, position, first window, last window) of the anchors of the first windows of each kind."""
     sums = rolling.prefixes(data)
     fresh = inner_repeats(data, window_hashes(sums, len(data), LENGTH))[1]
     grams = window_hashes(sums, len(data), GRAM)
-    view = sliding_window_view(grams, SPAN)
-    at = np.concatenate([view[lo : lo + 65536].argmin(1) + np.arange(lo, min(lo + 65536, len(view))) for lo in range(0, len(view), 65536)])
+    at = np.concatenate([leftmost_least(grams[lo : lo + 65536 + SPAN - 1], SPAN) + lo for lo in range(0, len(grams) - SPAN + 1, 65536)])
     windows = np.flatnonzero(fresh)
     at = at[windows]
     cut = np.flatnonzero(np.diff(at, prepend=-1))

@@ -239,3 +239,21 @@ def test_anchors_of_many_rows_are_flagged(size):
     out = pa.Table.from_batches(list(suffix_array_dedup._flagged(3)(iter(table.to_batches(max_chunksize=size)))))
     assert out.column("place").to_pylist() == list(range(len(anchors)))
     assert out.column("large").to_pylist() == [anchors.count(a) > 3 for a in anchors]
+
+
+@pytest.mark.parametrize("span", [1, 2, 7, 64, 105])
+def test_leftmost_least_of_each_span(span):
+    values = np.random.default_rng(span).integers(0, 6, 700).astype(np.uint64)
+    want = [i + min(range(span), key=lambda j: (values[i + j], j)) for i in range(len(values) - span + 1)]
+    assert suffix_array_dedup.leftmost_least(values, span).tolist() == want
+
+
+def test_anchors_of_a_text_of_many_blocks():
+    """Blocks of windows join without a seam: every window's anchor is its leftmost least gram."""
+    data = np.random.default_rng(3).integers(97, 123, 140_000).astype(np.uint8)
+    h, at, lo, hi = suffix_array_dedup.anchors(data)
+    grams = suffix_array_dedup.window_hashes(suffix_array_dedup.rolling.prefixes(data), len(data), suffix_array_dedup.GRAM)
+    assert lo[0] == 0 and hi[-1] == len(data) - 200 and (lo[1:] == hi[:-1] + 1).all() and (grams[at] == h).all()
+    for a, first, last in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        for w in {first, last}:
+            assert w + int(grams[w : w + suffix_array_dedup.SPAN].argmin()) == a
