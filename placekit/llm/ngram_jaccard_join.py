@@ -5,7 +5,8 @@ one sampled coordinate: sets with the same token there share a node. A node with
 sets is split again: two coordinates are sampled by the node's number, and a set goes to the child of
 its token in each. Small nodes are leaves, in which all pairs are compared. Runs repeat: a pair of similarity s
 shares a leaf of a run with probability s times (1 - (1 - s)^2) for each further level: at 0.8 a run keeps 0.8 without a
-split and 0.74 at full depth, so ten runs miss one pair in ten million, or one in 600,000. Levels are few, as
+split and 0.74 at full depth. There are as many runs as reach the recall ``RECALL`` at full depth: ten, which miss one pair in 600,000,
+or one in ten million without a split. Levels are few, as
 a set is in two children: what three don't split is alike indeed, and is compared in blocks.
 
 Two steps compare: embeddings first tell which members of a leaf have a likely partner; the whole
@@ -21,6 +22,7 @@ are compared whole. An empty table gives an empty table. Columns other than id a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +34,24 @@ from placekit.llm import rolling
 from placekit.llm.common import connected_components, materialize, read_table, text_key, whole_groups
 
 WORDS, SIMILARITY = 5, 0.8
-COORDINATES, RUNS, LEAF, DEPTH = 64, 10, 1000, 3
+COORDINATES, LEAF, DEPTH = 64, 1000, 3
+RECALL = 0.999998
 #: Sets of a node that doesn't split which one task compares with each other, or with as many more; rows of a matrix in hand.
 DENSE, TILE = 8192, 256
 #: Agreeing coordinates from which a pair is looked at: 5 standard deviations below those of SIMILARITY.
 LIKELY = int(COORDINATES * (SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5))
+
+
+def runs_for(similarity: float = SIMILARITY, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """Runs after which a pair of the similarity shares a leaf of ``depth`` levels with the probability ``recall``."""
+    kept = similarity * (1 - (1 - similarity) ** 2) ** (depth - 1)
+    runs = math.ceil(math.log(1 - recall) / math.log(1 - kept)) if kept < 1 else 1
+    if runs > COORDINATES:
+        raise ValueError(f"{runs} runs need more than {COORDINATES} coordinates")
+    return runs
+
+
+RUNS = runs_for()
 _RNG = np.random.default_rng(3)
 _FACTORS = (_RNG.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _SHIFTS = _RNG.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)

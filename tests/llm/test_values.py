@@ -257,3 +257,14 @@ def test_anchors_of_a_text_of_many_blocks():
     for a, first, last in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
         for w in {first, last}:
             assert w + int(grams[w : w + suffix_array_dedup.SPAN].argmin()) == a
+
+
+def test_runs_reach_the_recall():
+    assert ngram_jaccard_join.RUNS == 10
+    for depth in (1, 2, 3, 7):
+        for recall in (0.9, 0.999, 0.999998):
+            kept = 0.8 * 0.96 ** (depth - 1)
+            runs = ngram_jaccard_join.runs_for(0.8, depth, recall)
+            assert (1 - kept) ** runs <= 1 - recall < (1 - kept) ** (runs - 1)
+    with pytest.raises(ValueError, match="coordinates"):
+        ngram_jaccard_join.runs_for(0.1, 3, 0.999999)
