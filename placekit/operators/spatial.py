@@ -36,11 +36,11 @@ def nearest(pairs: DataFrame, key: str, value: list[str], by: list) -> DataFrame
     return pairs.groupBy(key).agg(best.alias("__b")).select(key, *[F.col(f"__b.{v}").alias(v) for v in value])
 
 
-def at_spots(points: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+def at_spots(points: DataFrame, found: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """``points`` with what was found for their spot: the columns ``by``, which ``found`` has once each. What many points share is looked for once."""
     there = found.withColumnsRenamed({c: f"__{c}" for c in by})
     met = functools.reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in by])
-    return points.join(there.hint("merge"), met).drop(*[f"__{c}" for c in by])
+    return points.join(there.hint("merge"), met, how).drop(*[f"__{c}" for c in by])
 
 
 def box_cover(areas: DataFrame, cell: float) -> DataFrame:

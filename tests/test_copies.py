@@ -9,6 +9,9 @@ from placekit.plans.adapter import TABLES
 SF = "/root/testdata/sf0.001"
 KEYS = {"part": "p_partkey", "customer": "c_custkey", "supplier": "s_suppkey"}
 QUERIES = [
+    "named_access_points",
+    "tag_scores",
+    "article_gate",
     "coastal_fuzzy_nearest",
     "nearest_water_edge",
     "coastal_group_merge",
