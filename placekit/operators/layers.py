@@ -4,12 +4,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placekit.functions import geo
 from placekit.operators.components import materialize
-from placekit.operators.spatial import box_cover, nearest, radius_join
+from placekit.operators.spatial import at_spots, box_cover, radius_join
 
 OVERLAP = 0.55
 #: Parts under this share of the largest one join the nearest part.
@@ -46,7 +46,7 @@ def layer_dedupe(boxes: DataFrame, layers: list[int], cell: float = 0.02) -> Dat
     return out
 
 
-def shape_places(places: DataFrame, boxes: DataFrame, cell: float = 0.05) -> DataFrame:
+def shape_places(places: DataFrame, boxes: DataFrame, cell: float = 0.02) -> DataFrame:
     """(key, lat, lng, name) -> key, moved, lat, lng, acres, for places that a box holds or that share a near box's name.
 
     A place that no box of its name holds moves into the largest box of its name whose centre is within
@@ -54,22 +54,32 @@ def shape_places(places: DataFrame, boxes: DataFrame, cell: float = 0.05) -> Dat
     """
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     b = boxes.withColumn("area", area).withColumn("r_lat", (F.col("y0") + F.col("y1")) / 2).withColumn("r_lng", (F.col("x0") + F.col("x1")) / 2).withColumnRenamed("name", "b_name")
-    p = places.withColumn("pi", geo.cell(F.col("lat"), cell).cast("int")).withColumn("pj", geo.cell(F.col("lng"), cell).cast("int"))
-    held = p.join(box_cover(b, cell), (F.col("pi") == F.col("ci")) & (F.col("pj") == F.col("cj"))).where("lng > x0 AND lng < x1 AND lat > y0 AND lat < y1")
-    own = held.where("b_name = name")
-    near = radius_join(places, b, F.lit(REACH), cell=0.08).where((F.col("b_name") == F.col("name")) & (F.col("dist") < REACH))
-    ranked = [F.col("layer"), F.col("id")]
-    by_own = nearest(own, "key", ["layer"], ranked).select(F.col("key").alias("o_key"), F.col("layer").alias("o_layer"))
-    by_near = nearest(near, "key", ["layer"], ranked).select(F.col("key").alias("n_key"), F.col("layer").alias("n_layer"))
-    to = nearest(near, "key", ["r_lat", "r_lng"], [-F.col("area"), F.col("id")]).select(F.col("key").alias("t_key"), F.col("r_lat").alias("t_lat"), F.col("r_lng").alias("t_lng"))
-    least = held.groupBy("key").agg(F.min("area").alias("h_area")).withColumnRenamed("key", "h_key")
-    out = places.join(by_own, F.col("key") == F.col("o_key"), "left").join(by_near, F.col("key") == F.col("n_key"), "left").join(to, F.col("key") == F.col("t_key"), "left").join(least, F.col("key") == F.col("h_key"), "left")
-    moved = F.col("o_key").isNull() & F.col("n_key").isNotNull()
-    out = out.where("h_key IS NOT NULL OR n_key IS NOT NULL").withColumn("moved", moved).withColumn("a_layer", F.coalesce("o_layer", "n_layer"))
+    return moved_places(places, b, ["x0", "y0", "x1", "y1"], F.expr("lng > x0 AND lng < x1 AND lat > y0 AND lat < y1"), cell)
+
+
+def moved_places(places: DataFrame, b: DataFrame, shape: list[str], holds: Column, cell: float) -> DataFrame:
+    """``shape_places`` for areas b (layer, id, b_name, area, x0, y0, x1, y1, r_lat, r_lng) of any ``shape`` (its columns), of which ``holds`` is true.
+
+    Spots meet shapes, each once: the least area that holds a spot is one for all places there, and where names matter they are part of the key.
+    """
+    there, named = ["lat", "lng"], ["lat", "lng", "name"]
+
+    def held(spots: DataFrame, areas: DataFrame, on: Column) -> DataFrame:
+        p = spots.withColumn("pi", geo.cell(F.col("lat"), cell).cast("int")).withColumn("pj", geo.cell(F.col("lng"), cell).cast("int"))
+        return p.join(box_cover(areas, cell).hint("merge"), (F.col("pi") == F.col("ci")) & (F.col("pj") == F.col("cj")) & on).where(holds)
+
+    names = places.select(*named).distinct()
+    least = held(places.select(*there).distinct(), b.groupBy(*shape).agg(F.min("area").alias("area")), F.lit(True)).groupBy(*there).agg(F.min("area").alias("h_area"))
+    own = held(names, b.groupBy(*shape, "b_name").agg(F.min("layer").alias("layer")), F.col("b_name") == F.col("name")).groupBy(*named).agg(F.min("layer").alias("o_layer"))
+    middles = b.groupBy("r_lat", "r_lng", "b_name").agg(F.min("layer").alias("layer"), F.min(F.struct((-F.col("area")).alias("a"), "id")).alias("largest"))
+    near = radius_join(names, middles, F.lit(REACH), cell=0.04, on=("name", "b_name")).where(F.col("dist") < REACH)
+    near = near.groupBy(*named).agg(F.min("layer").alias("n_layer"), F.min(F.struct("largest", "r_lat", "r_lng")).alias("t"))
+    out = at_spots(at_spots(at_spots(places, least, there, "left"), own, named, "left"), near, named, "left")
+    moved = F.col("o_layer").isNull() & F.col("n_layer").isNotNull()
+    out = out.where("h_area IS NOT NULL OR n_layer IS NOT NULL").withColumn("moved", moved).withColumn("a_layer", F.coalesce("o_layer", "n_layer"))
     sums = b.groupBy(F.col("layer").alias("s_layer"), F.col("b_name").alias("s_name")).agg(F.sum("area").alias("s_area"))
     out = out.join(sums, (F.col("a_layer") == F.col("s_layer")) & (F.col("name") == F.col("s_name")), "left")
-    lat = F.when(F.col("moved"), F.round("t_lat", 5)).otherwise(F.col("lat"))
-    lng = F.when(F.col("moved"), F.round("t_lng", 5)).otherwise(F.col("lng"))
+    lat, lng = (F.when(F.col("moved"), F.round(f"t.r_{c}", 5)).otherwise(F.col(c)) for c in ("lat", "lng"))
     acres = F.when(F.col("a_layer").isNotNull(), F.col("s_area")).otherwise(F.col("h_area")) * F.cos(F.radians(lat)) * ACRES
     return out.select("key", "moved", lat.alias("lat"), lng.alias("lng"), acres.alias("acres"))
 

@@ -10,6 +10,7 @@ SF = "/root/testdata/sf0.001"
 KEYS = {"part": "p_partkey", "customer": "c_custkey", "supplier": "s_suppkey"}
 QUERIES = [
     "candidate_pairs",
+    "shape_relocate",
     "named_access_points",
     "tag_scores",
     "article_gate",
