@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
-from placekit.functions import geo, shapes
+from placekit.functions import shapes
 from placekit.operators.components import materialize
-from placekit.operators.layers import ACRES, OVERLAP, REACH
-from placekit.operators.spatial import box_cover, nearest, radius_join
+from placekit.operators.layers import ACRES, OVERLAP, moved_places  # noqa: F401  ACRES is read from here too
+from placekit.operators.spatial import box_cover
 
 RINGS = "array<array<double>>"
 
@@ -102,7 +102,7 @@ def dedupe_layers(areas: DataFrame, layers: list[str], cell: float = 0.02) -> Da
     return out.select("layer", "id", "name", "area", "reason")
 
 
-def shape_places(places: DataFrame, areas: DataFrame, cell: float = 0.05) -> DataFrame:
+def shape_places(places: DataFrame, areas: DataFrame, cell: float = 0.02) -> DataFrame:
     """(key, lat, lng, name) -> key, moved, lat, lng, acres, for places that an area holds or that share a near area's name.
 
     areas: layer (a number, the best least), id, name, rings. A place that no area of its name holds moves into the largest area of its name whose middle is
@@ -111,21 +111,5 @@ def shape_places(places: DataFrame, areas: DataFrame, cell: float = 0.05) -> Dat
     """
     b = materialize(corners(areas).withColumn("area", area_of("rings"))).withColumnRenamed("name", "b_name")
     b = b.withColumn("r_lat", (F.col("y0") + F.col("y1")) / 2).withColumn("r_lng", (F.col("x0") + F.col("x1")) / 2)
-    p = places.withColumn("pi", geo.cell(F.col("lat"), cell).cast("int")).withColumn("pj", geo.cell(F.col("lng"), cell).cast("int"))
-    held = p.join(box_cover(b, cell), (F.col("pi") == F.col("ci")) & (F.col("pj") == F.col("cj"))).where("lng BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1")
-    held = held.where(holds(F.col("rings"), F.col("lng"), F.col("lat")))
-    own = held.where("b_name = name")
-    near = radius_join(places, b, F.lit(REACH), cell=0.08).where((F.col("b_name") == F.col("name")) & (F.col("dist") < REACH))
-    ranked = [F.col("layer"), F.col("id")]
-    by_own = nearest(own, "key", ["layer"], ranked).select(F.col("key").alias("o_key"), F.col("layer").alias("o_layer"))
-    by_near = nearest(near, "key", ["layer"], ranked).select(F.col("key").alias("n_key"), F.col("layer").alias("n_layer"))
-    to = nearest(near, "key", ["r_lat", "r_lng"], [-F.col("area"), F.col("id")]).select(F.col("key").alias("t_key"), F.col("r_lat").alias("t_lat"), F.col("r_lng").alias("t_lng"))
-    least = held.groupBy(F.col("key").alias("h_key")).agg(F.min("area").alias("h_area"))
-    out = places.join(by_own, F.col("key") == F.col("o_key"), "left").join(by_near, F.col("key") == F.col("n_key"), "left")
-    out = out.join(to, F.col("key") == F.col("t_key"), "left").join(least, F.col("key") == F.col("h_key"), "left")
-    out = out.where("h_key IS NOT NULL OR n_key IS NOT NULL").withColumn("moved", F.col("o_key").isNull() & F.col("n_key").isNotNull()).withColumn("a_layer", F.coalesce("o_layer", "n_layer"))
-    sums = b.groupBy(F.col("layer").alias("s_layer"), F.col("b_name").alias("s_name")).agg(F.sum("area").alias("s_area"))
-    out = out.join(sums, (F.col("a_layer") == F.col("s_layer")) & (F.col("name") == F.col("s_name")), "left")
-    lat, lng = (F.when(F.col("moved"), F.round(f"t_{c}", 5)).otherwise(F.col(c)) for c in ("lat", "lng"))
-    acres = F.when(F.col("a_layer").isNotNull(), F.col("s_area")).otherwise(F.col("h_area")) * F.cos(F.radians(lat)) * ACRES
-    return out.select("key", "moved", lat.alias("lat"), lng.alias("lng"), acres.alias("acres"))
+    inside = F.expr("lng BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1") & holds(F.col("rings"), F.col("lng"), F.col("lat"))
+    return moved_places(places, b, ["rings", "x0", "y0", "x1", "y1"], inside, cell)
