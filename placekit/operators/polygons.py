@@ -78,7 +78,7 @@ def dedupe_layers(areas: DataFrame, layers: list[str], cell: float = 0.02) -> Da
 
     Layers in order of priority: an area goes if it touches a kept one of its name in an earlier layer, or if such areas
     cover OVERLAP of it, where what two of them cover counts twice. An area without extent stays and covers nothing. A pair is looked at once, in
-    the cell of the lower left corner of what their boxes share.
+    the cell of the lower left corner of what their boxes share. What goes by its name is settled first, among areas of that name alone; shared areas are for the rest.
     """
     boxed = materialize(corners(areas).withColumn("area", area_of("rings")))
     kept, judged = boxed.limit(0), []
@@ -87,13 +87,18 @@ def dedupe_layers(areas: DataFrame, layers: list[str], cell: float = 0.02) -> Da
         k = box_cover(kept.where("area > 0"), cell).select(*[F.col(c).alias(f"k_{c}") for c in ("name", "rings", "x0", "y0", "x1", "y1", "ci", "cj")])
         left, low = F.greatest("x0", "k_x0"), F.greatest("y0", "k_y0")
         meet = (left <= F.least("x1", "k_x1")) & (low <= F.least("y1", "k_y1"))
-        pairs = box_cover(now.where("area > 0"), cell).join(k, (F.col("ci") == F.col("k_ci")) & (F.col("cj") == F.col("k_cj")))
-        pairs = pairs.where(meet & (F.floor(low / F.lit(cell)) == F.col("ci")) & (F.floor(left / F.lit(cell)) == F.col("cj")))
-        same = F.coalesce(F.col("name") == F.col("k_name"), F.lit(False)) & (F.col("name") != "")
-        pairs = pairs.withColumn("shared", common_area("rings", "k_rings")).withColumn("named", same & touches("rings", "k_rings"))
-        met = pairs.groupBy(F.col("id").alias("m_id")).agg(F.sum("shared").alias("covered"), F.max("named").alias("named"))
-        reason = F.when(F.col("named"), "name").when(F.col("covered") / F.col("area") >= OVERLAP, "overlap").otherwise("kept")
-        step = materialize(now.join(met, F.col("id") == F.col("m_id"), "left").withColumn("reason", reason).drop("m_id", "covered", "named"))
+
+        def pairs(of: DataFrame, on: Column) -> DataFrame:
+            both = box_cover(of.where("area > 0"), cell).join(k.hint("merge"), (F.col("ci") == F.col("k_ci")) & (F.col("cj") == F.col("k_cj")) & on)
+            return both.where(meet & (F.floor(low / F.lit(cell)) == F.col("ci")) & (F.floor(left / F.lit(cell)) == F.col("cj")))
+
+        same = pairs(now.where("name <> ''"), F.col("name") == F.col("k_name")).where(touches("rings", "k_rings"))
+        named = materialize(same.select(F.col("id").alias("n_id")).distinct())
+        rest = now.join(named, F.col("id") == F.col("n_id"), "left_anti")
+        met = pairs(rest, F.lit(True)).withColumn("shared", common_area("rings", "k_rings")).groupBy(F.col("id").alias("m_id")).agg(F.sum("shared").alias("covered"))
+        reason = F.when(F.col("n_id").isNotNull(), "name").when(F.col("covered") / F.col("area") >= OVERLAP, "overlap").otherwise("kept")
+        step = now.join(named, F.col("id") == F.col("n_id"), "left").join(met, F.col("id") == F.col("m_id"), "left")
+        step = materialize(step.withColumn("reason", reason).drop("n_id", "m_id", "covered"))
         judged.append(step)
         kept = kept.unionByName(step.where("reason = 'kept'").drop("reason"))
     out = judged[0]
