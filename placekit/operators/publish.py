@@ -95,11 +95,13 @@ def match_entries(places: DataFrame, entries: DataFrame) -> DataFrame:
     e = entries.select("entry", F.col("id").alias("e_id"), names.norm(F.col("name")).alias("e_name"), F.col("town").alias("e_town"), "lat", "lng")
     p = places.select("key", F.col("id").alias("p_id"), names.norm(F.col("name")).alias("p_name"), F.col("town").alias("p_town"), "aka", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
     named = e.where("e_name <> ''")
+    first = lambda d, *by: d.groupBy(*by).agg(F.min("key").alias("key"))  # noqa: E731  of several places of a name only the first counts
+    alt = first(p.select("key", F.explode("aka").alias("alt")).withColumn("alt", names.norm(F.col("alt"))), "alt")
     tries = [
         e.join(p, F.col("e_id") == F.col("p_id")).select("entry", F.lit(0).alias("by"), F.lit(0.0).alias("far"), "key"),
-        named.join(p, (F.col("e_name") == F.col("p_name")) & F.col("e_town").eqNullSafe(F.col("p_town"))).select("entry", F.lit(1), F.lit(0.0), "key"),
-        named.join(p, F.col("e_name") == F.col("p_name")).select("entry", F.lit(2), F.lit(0.0), "key"),
-        named.join(p.select("key", F.explode("aka").alias("alt")), F.col("e_name") == names.norm(F.col("alt"))).select("entry", F.lit(3), F.lit(0.0), "key"),
+        named.join(first(p, "p_name", "p_town"), (F.col("e_name") == F.col("p_name")) & F.col("e_town").eqNullSafe(F.col("p_town"))).select("entry", F.lit(1), F.lit(0.0), "key"),
+        named.join(first(p, "p_name"), F.col("e_name") == F.col("p_name")).select("entry", F.lit(2), F.lit(0.0), "key"),
+        named.join(alt, F.col("e_name") == F.col("alt")).select("entry", F.lit(3), F.lit(0.0), "key"),
     ]
     near = radius_join(e.where("lat IS NOT NULL AND lng IS NOT NULL"), p.where("r_lat IS NOT NULL"), F.lit(ANCHOR * 1.02))
     far = geo.dist_mean(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))
