@@ -28,11 +28,25 @@ def dist_ellipse(lat1, lng1, lat2, lng2) -> Column:
     return _flat(lat1, lng1, lat2, lng2, MERIDIAN, DEGREE, lat1)
 
 
-def haversine_km(lat1, lng1, lat2, lng2) -> Column:
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
+def _arc_km(dy: Column, dx: Column, lat1: Column, lat2: Column) -> Column:
+    a = F.pow(F.sin(F.radians(dy) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(dx) / 2), 2)
     return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
+def haversine_km(lat1, lng1, lat2, lng2) -> Column:
+    return _arc_km(lat2 - lat1, lng2 - lng1, lat1, lat2)
+
+
+def box_km(a: Column, b: Column) -> tuple[Column, Column]:
+    """Bounds of ``haversine_km`` between any points of two boxes (structs of y0, y1, x0, x1), which lie less than half a turn apart."""
+    gap = [F.greatest(b[f"{c}0"] - a[f"{c}1"], a[f"{c}0"] - b[f"{c}1"], F.lit(0.0)) for c in "yx"]
+    span = [F.greatest(a[f"{c}1"] - b[f"{c}0"], b[f"{c}1"] - a[f"{c}0"]) for c in "yx"]
+    # a degree of longitude is least at the latitude farthest from the equator
+    most = [F.greatest(F.abs(x["y0"]), F.abs(x["y1"])) for x in (a, b)]
+    least = [F.greatest(x["y0"], -x["y1"], F.lit(0.0)) for x in (a, b)]
+    return _arc_km(*gap, *most), _arc_km(*span, *least)
+
+
 def radius_m(acres: Column) -> Column:
     """Radius of a disc of that area, from 90 to 2200 m; 120 m if unknown."""
     return F.when(F.coalesce(acres, F.lit(0)) <= 0, 120.0).otherwise(F.least(F.lit(2200.0), F.greatest(F.lit(90.0), F.sqrt(acres * ACRE / math.pi))))
